@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, storage, wavelet
+from . import decontam, simhash, storage, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -51,5 +56,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op5_decontaminate": op5_decontaminate}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op5_decontaminate": op5_decontaminate, "op9_simhash_ball": op9_simhash_ball}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
