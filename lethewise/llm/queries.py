@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, storage, wavelet
+from . import decontam, simhash, storage, warc, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,12 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.annotate(docs, table(spark, sf_dir, "benchmark"))
@@ -36,6 +42,18 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to,
+  CAST(CASE WHEN (payload_bytes >= 1000 AND page_id < last) OR block <= 32768 THEN 1 ELSE (block + 32767) // 32768 END AS INTEGER) AS n_segments
+FROM (SELECT *, 87 + payload_bytes + 5 + 8 * (payload_bytes // 8192)
+  + CASE WHEN payload_bytes % 8192 > 0 THEN length(format('{:x}', payload_bytes % 8192)) + 4 ELSE 0 END AS block FROM f)
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -56,5 +74,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op5_decontaminate": op5_decontaminate, "op9_simhash_ball": op9_simhash_ball}
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op9_simhash_ball": op9_simhash_ball}
+ORACLE_SQL: dict[str, str] = {"op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
