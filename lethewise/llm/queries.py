@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, storage, warc, wavelet
+from . import decontam, secrets, simhash, storage, warc, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,19 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def n(kind: str):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secret_spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"), n("random"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,5 +87,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op9_simhash_ball": op9_simhash_ball}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
 ORACLE_SQL: dict[str, str] = {"op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
