@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, secrets, simhash, storage, warc, wavelet
+from . import decontam, langid, secrets, simhash, storage, warc, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +37,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, where=~langid.held_out())
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -87,5 +94,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
 ORACLE_SQL: dict[str, str] = {"op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
