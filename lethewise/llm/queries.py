@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, secrets, simhash, storage, warc, wavelet
+from . import chat, decontam, langid, linerules, secrets, simhash, storage, warc, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,15 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linerules.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", F.length("cleaned").cast("long").alias("cleaned_chars"))
+
+
+def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.shared_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -62,6 +71,48 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), g AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1
+), covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, k, s, len(list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+    length(regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
+    length(regexp_replace(s, '[A-Za-z0-9\x20\x09-\x0D]+|[^\x00-\x7F]+', '', 'g')) AS marks,
+    length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) AS signs
+  FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS s FROM d)
+), judged AS (
+  SELECT doc_id, k, s, words > 0 AND ((regexp_matches(s, '{linerules.NAVIGATION}') AND NOT regexp_matches(s, '[.!?]') AND words <= {linerules.NAV_WORDS})
+    OR (regexp_matches(s, '{linerules.BOILERPLATE}') AND words <= {linerules.BOILER_WORDS}) OR marks * 2 > solid OR signs * 3 > words) AS fails FROM lines
+), cleaned AS (
+  SELECT doc_id, CAST(count(*) FILTER (fails) AS BIGINT) AS n_lines_removed, coalesce(length(string_agg(s, chr(10) ORDER BY k) FILTER (NOT fails)), 0) AS chars FROM judged GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(list_aggregate(list_concat(w, ['']), 'string_agg', '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS whole, n_lines_removed, CAST(chars AS BIGINT) AS cleaned_chars
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN cleaned USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND CASE WHEN whole > 0 THEN cleaned_chars / whole ELSE 0 END >= {linerules.MIN_KEPT} AS kept,
+  n_lines_removed, cleaned_chars
+FROM base
+"""
+
+OP3_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY place) AS l FROM t GROUP BY conv_id
+), k AS (SELECT min(conv_id) AS conv_id, l, count(*) AS n_equal FROM c GROUP BY l
+), p AS (SELECT DISTINCT list_slice(l, 1, i) AS l FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c))
+SELECT k.conv_id, CAST(len(k.l) AS INTEGER) AS n_turns, CAST(n_equal AS BIGINT) AS n_equal,
+  list_aggregate(list_transform(k.l, lambda s: '<|im_start|>' || s.r || chr(10) || s.x || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
+FROM k ANTI JOIN p ON k.l = p.l
+"""
+
 OP4_SQL = """
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -94,5 +145,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
-ORACLE_SQL: dict[str, str] = {"op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
+ORACLE_SQL: dict[str, str] = {"op2_line_rules": OP2_SQL, "op3_chat_collapse": OP3_SQL, "op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
