@@ -17,7 +17,7 @@ from . import storage
 from .joins import lookup
 
 #: Links that one task holds at once while it drops those that close a ring.
-HELD_LINKS = 1 << 21
+HELD_LINKS = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from .joins import lookup
 #: Fingerprints that may meet in a half's variant and be compared pair by pair.
 CROWD = 32
 #: Variants in a bucket of the shuffle, on average, and how many a task holds at once.
-BUCKET, HELD = 1 << 19, 1 << 22
+BUCKET, HELD = 1 << 19, 1 << 20
 
 _LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 
