@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linerules, secrets, simhash, storage, warc, wavelet
+from . import chat, decontam, langid, linerules, pieces, secrets, simhash, storage, warc, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,6 +46,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit("\u2581"), F.lit(" ")))
+    return pieces.decode(coded, model).select("doc_id", "n_pieces", "ids_crc32", same.alias("round_trip"), "piece_ids")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, where=~langid.held_out())
@@ -145,5 +152,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op6_piece_viterbi": op6_piece_viterbi, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
 ORACLE_SQL: dict[str, str] = {"op2_line_rules": OP2_SQL, "op3_chat_collapse": OP3_SQL, "op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
