@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linerules, pieces, secrets, simhash, storage, warc, wavelet
+from . import chat, decontam, langid, linerules, pieces, pseudolm, secrets, simhash, storage, warc, wavelet
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,6 +78,10 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "pll", "pll_mean")
+
+
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -152,5 +156,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op6_piece_viterbi": op6_piece_viterbi, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball}
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op6_piece_viterbi": op6_piece_viterbi, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball, "op10_pseudo_likelihood": op10_pseudo_likelihood}
 ORACLE_SQL: dict[str, str] = {"op2_line_rules": OP2_SQL, "op3_chat_collapse": OP3_SQL, "op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
