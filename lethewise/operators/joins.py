@@ -24,3 +24,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
     light = known.join(F.broadcast(table.where(heavy).select(key)), key, "left_anti").join(table.where(~heavy).select(key, *values), key, "left")
     blank = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in values])
     return known.join(top, key).unionByName(light).unionByName(blank).select(*rows.columns, *values)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """``rows`` joined to ``table`` on ``key``, each key of ``rows`` dealt over ``salts`` tasks.
+
+    For long tables of tokens: one token may make up a few hundredths of all rows, and the table of counts is far smaller
+    than the rows, so that its copies cost little.
+    """
+    cut = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return cut.join(copies, [key, "_salt"], how).drop("_salt")
