@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .joins import lookup
+from lethewise.operators.joins import lookup
 
 #: Links that one task holds at once while it drops those that close a ring.
 HELD_LINKS = 1 << 20

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import storage, textbuf
 from .components import components, forest
-from .joins import lookup
+from lethewise.operators.joins import lookup
 
 #: Fingerprints that may meet in a half's variant and be compared pair by pair.
 CROWD = 32

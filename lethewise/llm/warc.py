@@ -3,9 +3,9 @@
 Writing. Of records with equal payloads of at least ``REVISIT_BYTES``, the one with the largest id is a ``response``, and
 the others are ``revisit`` records that refer to it. A response is an HTTP message in chunked transfer framing. A block
 beyond ``SEGMENT_BYTES`` is split: its first segment is the response with segment number 1, the rest are ``continuation``
-records that name its id, and the last of them the total length. The archives are plain WARC/1.1 files: each record is a
-row that Spark's text writer writes as it is (the line end that the writer adds is the record's last byte), so any store
-that Spark can write holds them.
+records that name its id, and the last of them the total length. The archives are WARC/1.1 files, gzipped whole:
+each record is a row that Spark's text writer writes as it is (the line end that the writer adds is the record's last
+byte), so any store that Spark can write holds them.
 
 Reading. Files come through Spark's ``binaryFile`` reader. Whole records are decoded where they are; of segmented ones
 alone, the segments are grouped by their origin's id, put in order of segment number, checked for gaps and against the
@@ -20,6 +20,7 @@ archives without records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage, textbuf
-from .joins import lookup
+from lethewise.operators.joins import lookup
 
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
@@ -147,7 +148,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
                 out = [r[:-1] for x in some.to_pylist() for r in _page_records(x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"], segment_bytes)]
                 yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
-    rows.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+    rows.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 PAYLOADS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, n_segments int, payload binary"
@@ -182,19 +183,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Response and revisit records of the archives under ``path``: columns PAYLOADS."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(segmented: bool):
         schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.string()), ("head", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
-        for batch in batches:
-            for data in batch.column("content"):
-                out = []
-                for head, block in parse(data.as_py()):
-                    number = int(head.get("warc-segment-number", 0))
-                    origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
-                    out.append({"origin": origin, "number": number, "total": head.get("warc-segment-total-length"), "head": list(head.items()) if number < 2 else None, "block": block})
-                yield pa.RecordBatch.from_pylist(out, schema)
 
-    records = files.mapInArrow(split, "origin string, number int, total string, head map<string,string>, block binary")
-    records = storage.written(records, "records")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("content"):
+                    out, data = [], data.as_py()
+                    for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                        number = int(head.get("warc-segment-number", 0))
+                        if (number > 0) == segmented:
+                            origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
+                            out.append({"origin": origin, "number": number, "total": head.get("warc-segment-total-length"), "head": list(head.items()) if number < 2 else None, "block": block})
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+        return run
+
+    # whole records and segments are taken from the files in a pass each: cheaper than a table of all blocks between
+    records, segments = (files.mapInArrow(split(x), "origin string, number int, total string, head map<string,string>, block binary") for x in (False, True))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("n_segments", pa.int32()), ("payload", pa.binary())])
@@ -212,7 +218,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         out.append(_decoded(dict(head), joined(r["origin"], parts), len(parts)))
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    single = records.where("number = 0").select("head", "block").mapInArrow(whole, PAYLOADS)
+    single = records.select("head", "block").mapInArrow(whole, PAYLOADS)
     # a group is one record: its size is that of a payload, which a row holds in any case
-    groups = records.where("number > 0").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "head", "block")).alias("segments"))
+    groups = segments.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "head", "block")).alias("segments"))
     return single.unionByName(groups.mapInArrow(whole, PAYLOADS))
