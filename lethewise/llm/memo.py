@@ -10,8 +10,8 @@ import pyarrow as pa
 
 from . import textbuf
 
-#: Pieces whose ids a task remembers (some 150 bytes each); when they are more, it forgets all and starts anew.
-KNOWN_PIECES = 1_000_000
+#: Pieces whose ids a worker remembers (some 150 bytes each); when they are more, it forgets all and starts anew.
+KNOWN_PIECES = 500_000
 
 
 class PieceMemo:

@@ -16,6 +16,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
+from .memo import KNOWN_PIECES, PieceMemo
 
 MAGIC = b"WVMX1\n"
 #: Bits between two entries of a plane's running count.
@@ -31,7 +33,9 @@ STRIDE = 1024
 #: Bytes of a plane that are deflated together.
 BLOCK = 1 << 15
 #: Ids in a shard, unless a single document has more.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
+#: Bytes of text that are encoded together.
+PASS_BYTES = 4 << 20
 
 
 class WaveletShard:
@@ -177,54 +181,95 @@ class WaveletShard:
 
 # -- encoding ---------------------------------------------------------------------------------------------------------
 
+_CODE = np.arange(256)
+_ALNUM = ((_CODE >= 0x30) & (_CODE <= 0x39)) | ((_CODE >= 0x41) & (_CODE <= 0x5A)) | ((_CODE >= 0x61) & (_CODE <= 0x7A))
+# an apostrophe may begin a contraction, and a bar stands within the library's own end-of-text token
+_MARK = (_CODE > 0x20) & (_CODE < 0x7F) & ~_ALNUM & (_CODE != ord("'")) & (_CODE != ord("|"))
+
+
 def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets at which the byte-level pre-tokeniser always begins a new pre-token: every text's start, and an ASCII
-    space or newline after a character that is surely no white space. (Its pattern has no look-behind, and no pre-token
-    holds white space after anything else, so pieces between such cuts encode independently.)"""
-    cut = (raw == 0x20) | (raw == 0x0A)
+    """Offsets at which the byte-level pre-tokeniser always begins a new pre-token: every text's start, an ASCII space or
+    newline after a character that is surely no white space, and an ASCII mark after an ASCII letter or digit or a Latin
+    letter. (Its pattern has no look-behind; no pre-token holds white space after anything else, or a mark after a letter
+    or digit, contractions aside. So pieces between such cuts encode independently.)"""
+    at = np.zeros(len(raw) + 1, bool)
     if len(raw):
         prev = np.empty_like(raw)
         prev[0], prev[1:] = 0, raw[:-1]
-        cut &= ((prev > 0x20) & (prev < 0x7F)) | (prev >= 0x80)
+        space = (raw == 0x20) | (raw == 0x0A)
+        space &= ((prev > 0x20) & (prev < 0x7F)) | (prev >= 0x80)
         # no cut after C2 xx, E1 xx xx, E2 xx xx, E3 xx xx: Unicode's other white space is among them
-        cut[2:] &= raw[:-2] != 0xC2
-        cut[3:] &= ~((raw[:-3] >= 0xE1) & (raw[:-3] <= 0xE3))
-    at = np.zeros(len(raw) + 1, bool)
-    at[:-1] = cut
+        space[2:] &= raw[:-2] != 0xC2
+        space[3:] &= ~((raw[:-3] >= 0xE1) & (raw[:-3] <= 0xE3))
+        letter = _ALNUM[prev]
+        letter[2:] |= (raw[:-2] == 0xC3) & (prev[2:] != 0x97) & (prev[2:] != 0xB7)  # not the signs for times and divide
+        at[:-1] = space | (letter & _MARK[raw])
     at[offsets] = True
     return np.flatnonzero(at)
 
 
+#: Bytes of pieces that go to the tokenizer as one text.
+JOINED_BYTES = 1 << 14
+
+
 class PieceEncoder:
-    """Encodes batches of texts with the tokenizers library; each distinct piece of a batch is encoded once."""
+    """Encodes batches of texts with the tokenizers library; each distinct piece is encoded once, and remembered."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, known_pieces: int = KNOWN_PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.end_id, self.memo = Tokenizer.from_file(path), end_id, PieceMemo(self._encode_new, known_pieces)
+        letters = {c: 1 for c in pre_tokenizers.ByteLevel.alphabet()}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        # bytes of each id; an id that isn't made of byte letters (an added token) keeps 0, which fails the sum below
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            if all(c in letters for c in token):
+                self.bytes_of[i] = len(token)
+
+    def _encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and their numbers. Pieces are joined where a cut between them holds: there the ids' bytes
+        tell which piece they belong to. Texts of which they do not are encoded piece by piece."""
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        safe = np.isin(ends, _cuts(raw, np.array([0, len(raw)])))
+        group = np.cumsum(np.concatenate([[True], ~safe[:-1] | (np.diff(ends // JOINED_BYTES) > 0)])) - 1
+        first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(pieces)]])
+        data, edge = raw.tobytes(), np.concatenate([[0], ends])
+        texts = [data[edge[a] : edge[b]].decode() for a, b in zip(first[:-1], first[1:], strict=True)]
+        ids, sizes = [], []
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            a, b = first[k], first[k + 1]
+            got = np.array(e.ids, np.uint32)
+            upto = np.cumsum(self.bytes_of[got])
+            at = np.searchsorted(upto, edge[a + 1 : b + 1] - edge[a])
+            if b - a == 1:
+                n = np.array([len(got)])
+            elif len(got) and at[-1] < len(got) and (upto[at] == edge[a + 1 : b + 1] - edge[a]).all() and upto[-1] == edge[b] - edge[a]:
+                n = np.diff(at + 1, prepend=0)
+            else:
+                one = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[a:b]], add_special_tokens=False)]
+                n, got = np.array([len(x) for x in one]), np.array([i for x in one for i in x], np.uint32)
+            ids.append(got)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind, and their numbers."""
         raw, offsets = textbuf.flat(column)
-        cuts = _cuts(raw, offsets)
-        if len(cuts) > 1:
-            pieces = textbuf.tiles(raw, cuts).dictionary_encode()
-            codes = np.asarray(pieces.indices)
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.dictionary.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-        else:
-            codes, sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        length = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        upto = ends[np.searchsorted(cuts, offsets)]
-        stream = ids[textbuf.ragged((np.cumsum(sizes) - sizes)[codes], length)]
+        stream, upto = self.memo.stream(raw, _cuts(raw, offsets), offsets)
         return np.insert(stream, upto[1:], self.end_id), np.diff(upto) + 1
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker, so that what it has learned of pieces lasts."""
+    return PieceEncoder(path, end_id)
+
+
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_docs long, image binary"
 
 
@@ -235,7 +280,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     arrow = SHARD_SCHEMA
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, base = PieceEncoder(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, base = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
         held, ids, lens, size = [], [], [], 0
 
         def shard():
@@ -252,7 +297,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
             return row
 
         for batch in batches:
-            for some in textbuf.passes(batch, "text"):
+            for some in textbuf.passes(batch, "text", PASS_BYTES):
                 tokens, n = encoder.encode(some.column("text"))
                 held.append(tokens)
                 lens.append(n)
@@ -283,7 +328,8 @@ def read_documents(spark, path: str) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 shard = WaveletShard.from_bytes(r["image"])
                 raw, at = memoryview(shard.tokens().astype("<u4").tobytes()), shard.starts
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
