@@ -28,21 +28,33 @@ NAV_WORDS, BOILER_WORDS = 20, 25
 SYMBOLS = "[#*$%&|<>]"
 WHITE = r"[\x20\x09-\x0D]"
 #: Lines of these forms, in any case of letters.
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|sign up|log ?in to|subscribe (to|now)|click here|read more|share (this|on)|skip to (main )?content|licensed under|released under the|copyright (\(c\)|[0-9]{4}))"
-NAVIGATION = r"[^|>·»]*[|>·»][^|>·»]*[|>·»]"
+BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|sign up|log ?in to|subscribe (to|now)|click here|read more|share (this|on)|skip to (main )?content|licensed under|released under the|copyright (\(c\)|[0-9]{4}))"
+#: Two separators; the pattern begins at a separator, so a line without one is passed over once.
+NAVIGATION = r"[|>·»][^|>·»]*[|>·»]"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "kept_share", "n_lines_removed", "kept"]
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule."""
+#: A text whose lines all pass has none of this: a line breaks a rule only with a sign or separator in it, with a
+#: boilerplate phrase, or with more marks than other characters, of which then two are neighbours or one begins the line.
+_MARK = r"[^A-Za-z0-9\x20\x09-\x0D\x80-\x{10FFFF}]"
+SUSPECT = rf"[#*$%&|<>·»]|{_MARK}[\x20\x09\x0B-\x0D]*{_MARK}|(^|\n)[\x20\x09\x0B-\x0D]*{_MARK}"
+
+
+def line_measures(line: Column) -> Column:
+    """A line with what its rules look at, each worked out once."""
     words = F.size(F.array_remove(F.split(line, WHITE + "+"), ""))
     solid = F.length(F.regexp_replace(line, WHITE + "+", ""))
     marks = F.length(F.regexp_replace(line, r"[A-Za-z0-9\x20\x09-\x0D]+|[^\x00-\x7F]+", ""))
     signs = F.length(F.regexp_replace(line, r"[^#*$%&|<>]+", ""))
-    navigation = line.rlike(NAVIGATION) & ~line.rlike(r"[.!?]") & (words <= NAV_WORDS)
-    boilerplate = line.rlike(BOILERPLATE) & (words <= BOILER_WORDS)
-    punctuation = (marks * 2 > solid) | (signs * 3 > words)
-    return (words > 0) & (navigation | boilerplate | punctuation)
+    return F.struct(line.alias("line"), words.alias("words"), solid.alias("solid"), marks.alias("marks"), signs.alias("signs"))
+
+
+def line_fails(m: Column) -> Column:
+    """Whether a line with these measures breaks a rule; the numbers are looked at before the patterns."""
+    navigation = (m["words"] <= NAV_WORDS) & m["line"].rlike(NAVIGATION) & ~m["line"].rlike(r"[.!?]")
+    boilerplate = (m["words"] <= BOILER_WORDS) & m["line"].rlike(BOILERPLATE)
+    punctuation = (m["marks"] * 2 > m["solid"]) | (m["signs"] * 3 > m["words"])
+    return (m["words"] > 0) & (punctuation | navigation | boilerplate)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -51,10 +63,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*own, t.alias("_q_t"))
     rows = rows.withColumn("_q_w", F.array_remove(F.split("_q_t", WHITE + "+"), "")).withColumn("_q_l", F.split("_q_t", "\n"))
-    # windows of three words as (hash, place), sorted: equal windows are neighbours
     n = F.size("_q_w")
-    gram = F.transform(F.slice("_q_w", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, F.lit("\x1f"), F.get("_q_w", i + 1), F.lit("\x1f"), F.get("_q_w", i + 2)).alias("h"), i.alias("i")))
-    rows = rows.withColumn("_q_g", F.sort_array(gram))
+    gram = F.transform(F.slice("_q_w", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_q_w", i + 1), F.get("_q_w", i + 2)))
+    rows = rows.withColumn("_q_h", gram)
+    # windows as (hash, place), sorted, where any occurs twice: equal windows are neighbours
+    h = F.col("_q_h")
+    twice = F.size(F.array_distinct(h)) < F.size(h)
+    rows = rows.withColumn("_q_g", F.when(twice, F.sort_array(F.arrays_zip(h.alias("h"), F.sequence(F.lit(0), F.size(h) - 1).alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     g = F.col("_q_g")
 
     def like(x, j):
@@ -64,7 +79,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     p = F.col("_q_p")
     covered = F.size(F.array_union(F.array_union(p, F.transform(p, lambda i: i + 1)), F.transform(p, lambda i: i + 2)))
     lines = F.filter("_q_l", lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("_q_lines", lines).withColumn("_q_kept", F.filter("_q_l", lambda s: ~line_fails(s)))
+    rows = rows.withColumn("_q_lines", lines)
+    judged = F.transform(F.filter(F.transform("_q_l", line_measures), lambda m: ~line_fails(m)), lambda m: m["line"])
+    suspect = F.col("_q_t").rlike(SUSPECT) | F.col("_q_t").rlike(BOILERPLATE)
+    rows = rows.withColumn("_q_kept", F.when(suspect, judged).otherwise(F.col("_q_l")))
     whole, left = F.length("_q_t"), F.length(F.array_join("_q_kept", "\n"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     share = F.when(whole > 0, left / whole).otherwise(0.0)
