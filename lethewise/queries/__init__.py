@@ -1,4 +1,6 @@
 """Named queries over the driver's tables, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import prep, selection
+
+QUERIES: dict = {**prep.QUERIES, **selection.QUERIES}
+ORACLE_SQL: dict = {**prep.ORACLE_SQL, **selection.ORACLE_SQL}
