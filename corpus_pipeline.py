@@ -46,7 +46,7 @@ def _redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "piece_ids")
+    return pieces.encode(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), keep_text=False).select("doc_id", "n_pieces", "ids_crc32", "piece_ids")
 
 
 STAGES = [

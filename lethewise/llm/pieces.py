@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,7 +33,7 @@ from .memo import PieceMemo
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 #: Bytes of new words that are segmented together; words beyond LONG_WORD bytes go one by one.
-BATCH_BYTES, LONG_WORD = 1 << 20, 512
+BATCH_BYTES, LONG_WORD = 1 << 18, 512
 
 
 class Vocabulary:
@@ -252,14 +254,26 @@ class Encoder:
             return pa.array([x.decode(errors="replace") for x in data.to_pylist()], pa.large_string())
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with piece_ids (array of int), n_pieces and ids_crc32 (of the ids as little-endian 32-bit numbers)."""
-    own = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "ids_crc32")]
-    docs = docs.select(*own)
-    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+@lru_cache(maxsize=1)
+def _encoder(model: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that what it has learned of words lasts."""
+    return Encoder(model)
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with piece_ids (array of int), n_pieces and ids_crc32 (of the ids as little-endian 32-bit numbers).
+
+    With ``verify`` the ids are decoded again, and ``round_trip`` tells whether that gives the text (the mark itself
+    counted as a space); ``keep_text`` false leaves the text out of the result."""
+    made = ("piece_ids", "n_pieces", "ids_crc32", "round_trip")
+    cols = [c for c in docs.columns if c not in made]
+    docs = docs.select(*cols)
+    own = [c for c in cols if keep_text or c != text]
+    checked = [T.StructField("round_trip", T.BooleanType())] if verify else []
+    schema = T.StructType([*docs.select(*own).schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), *checked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = _encoder(model)
         for batch in batches:
             for some in textbuf.passes(batch, text):
                 column = some.column(text)
@@ -267,7 +281,11 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 raw, at = memoryview(ids.astype("<u4").tobytes()), upto.tolist()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 listed = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.view(np.int32)), mask=column.is_null() if column.null_count else None)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), listed, pa.array(np.diff(upto), pa.int64()), pa.array(crc, pa.int64())], names=[*own, "piece_ids", "n_pieces", "ids_crc32"])
+                added = [listed, pa.array(np.diff(upto), pa.int64()), pa.array(crc, pa.int64())]
+                if verify:
+                    plain = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "▁", " ")
+                    added.append(pc.equal(encoder.decode(ids, upto), plain))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), *added], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -279,7 +297,7 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "decod
     schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = _encoder(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 some = batch.slice(a, 1000)

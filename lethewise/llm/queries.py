@@ -48,9 +48,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit("\u2581"), F.lit(" ")))
-    return pieces.decode(coded, model).select("doc_id", "n_pieces", "ids_crc32", same.alias("round_trip"), "piece_ids")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, verify=True, keep_text=False)
+    return coded.select("doc_id", "n_pieces", "ids_crc32", "round_trip", "piece_ids")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
