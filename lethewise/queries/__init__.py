@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with their DuckDB SQL."""
 
-from . import prep, selection
+from . import prep, scores, selection
 
-QUERIES: dict = {**prep.QUERIES, **selection.QUERIES}
-ORACLE_SQL: dict = {**prep.ORACLE_SQL, **selection.ORACLE_SQL}
+QUERIES: dict = {**prep.QUERIES, **selection.QUERIES, **scores.QUERIES}
+ORACLE_SQL: dict = {**prep.ORACLE_SQL, **selection.ORACLE_SQL, **scores.ORACLE_SQL}
