@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass works on, unless a single text is longer.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 2 << 20
 
 
 def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
