@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 Vector = Column
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once. (What a lambda names from outside is worked out anew for every
+    element, so that a norm or a maximum within one would cost the square of the length.)"""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: Column) -> Vector:
     return v.cast("array<double>")
 
@@ -38,23 +45,19 @@ def lp_norm(v: Vector, p: float) -> Column:
 
 
 def l2_normalized(v: Vector) -> Vector:
-    size = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / size)
+    return let(v, lambda v: let(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda size: F.transform(v, lambda x: x / size)))
 
 
 def logsumexp(v: Vector) -> Column:
-    top = F.array_max(v)
-    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top))))
+    return let(v, lambda v: let(F.array_max(v), lambda top: top + F.ln(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def log_softmax(v: Vector) -> Vector:
-    z = logsumexp(v)
-    return F.transform(v, lambda x: x - z)
+    return let(v, lambda v: let(logsumexp(v), lambda z: F.transform(v, lambda x: x - z)))
 
 
 def softmax(v: Vector) -> Vector:
-    z = logsumexp(v)
-    return F.transform(v, lambda x: F.exp(x - z))
+    return F.transform(log_softmax(v), F.exp)
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -64,10 +67,13 @@ def log_sigmoid(x: Column) -> Column:
 def relative_top_mask(logits: Vector, share: float) -> Column:
     """True where a log-probability is under the filter: below both the k-th largest (k = share of the size, one at
     least) and the largest plus ln(share)."""
-    logp = log_softmax(logits)
     k = F.greatest(F.floor(F.size(logits) * F.lit(float(share))).cast("int"), F.lit(1))
-    limit = F.least(F.get(F.sort_array(logp, asc=False), k - 1), F.array_max(logp) + F.ln(F.lit(float(share))))
-    return F.transform(logp, lambda x: x < limit)
+
+    def masked(logp: Vector) -> Column:
+        limit = F.least(F.get(F.sort_array(logp, asc=False), k - 1), F.array_max(logp) + F.ln(F.lit(float(share))))
+        return let(limit, lambda low: F.transform(logp, lambda x: x < low))
+
+    return let(log_softmax(logits), masked)
 
 
 def composed(base: Vector, assistants: list[tuple[Vector, float]], mask: Column | None = None) -> Vector:
@@ -101,6 +107,10 @@ def greedy(scores: Vector, mask: Column | None = None) -> Column:
 
 def sampled(scores: Vector, uniform: Column) -> Column:
     """A draw from the softmax by inverse distribution function, for a number in [0, 1)."""
-    p = softmax(scores)
-    state = F.aggregate(p, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["below"] + F.when(s["sum"] + x <= uniform, 1).otherwise(0)).alias("below")))
-    return F.least(state["below"], F.size(scores) - 1)
+
+    def place(p: Vector) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
+        end = F.aggregate(p, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["below"] + F.when(s["sum"] + x <= uniform, 1).otherwise(0)).alias("below")))
+        return F.least(end["below"], F.size(p) - 1)
+
+    return let(softmax(scores), place)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import Vector, dot, log_sigmoid, log_softmax, softmax, total
+from .arrays import Vector, dot, let, log_sigmoid, log_softmax, softmax, total
 
 
 def gradient_ascent(token_loss: Column) -> Column:
@@ -81,10 +81,15 @@ def pdu_dual(dual: float, retain: float, epsilon: float, step: float) -> float:
 def unilogit(logits: Vector, target: Column) -> Column:
     """Per position: reverse divergence to the distribution that gives the target 1/V and keeps the others' proportions."""
     v = F.size(logits).cast("double")
-    p = softmax(logits)
-    at = F.get(p, target)
-    goal = F.transform(p, lambda x, i: F.when(i == target, 1 / v).otherwise(x * (1 - 1 / v) / (1 - at)))
-    return total(F.zip_with(p, goal, lambda a, b: a * (F.ln(a) - F.ln(b))))
+
+    def loss(p: Vector) -> Column:
+        def against(at: Column) -> Column:
+            goal = F.transform(p, lambda x, i: F.when(i == target, 1 / v).otherwise(x * (1 - 1 / v) / (1 - at)))
+            return total(F.zip_with(p, goal, lambda a, b: a * (F.ln(a) - F.ln(b))))
+
+        return let(F.get(p, target), against)
+
+    return let(softmax(logits), loss)
 
 
 def flat(good: Column, bad: Column, kind: str = "kl") -> Column:
