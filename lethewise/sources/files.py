@@ -31,7 +31,7 @@ def json_strings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(inner["v"].alias("value"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_list(text: pd.Series) -> pd.Series:
     """A list written as a Python literal; only literals are read, nothing is run. Null for anything else."""
 
@@ -58,9 +58,8 @@ def json_document(spark: SparkSession, path: str, schema: str = RSUB_SCHEMA) ->
 
 def jsonl(spark: SparkSession, path: str, schema: str = AUGMENTATION_SCHEMA) -> DataFrame:
     """JSON lines; a line that can't be read is left out, as after a job that was cut off."""
-    full = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_bad", T.StringType())])
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.where("_bad is null").drop("_bad")
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select(read.alias("r")).select("r.*").where("_bad is null").drop("_bad")
 
 
 def qa_items(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
