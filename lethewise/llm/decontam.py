@@ -50,7 +50,9 @@ def words(text: str | None) -> list[bytes]:
 def _window_hashes(word: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` words from each place on; the last width - 1 places have none."""
     n = len(word) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
     for j, p in enumerate(textbuf.powers(textbuf._ODD, width)):
         out += word[j : j + n] * p
     return out

@@ -226,7 +226,7 @@ def score(docs: DataFrame, shape: Shape, network: Network, text: str = "text") -
                 n = np.bincount(doc, minlength=some.num_rows)
                 total = np.bincount(doc, weights=lp, minlength=some.num_rows)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(n, pa.int64()), pa.array(total), mean], names=[*own, *(f.name for f in ADDED)])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], names=[*own, *(f.name for f in ADDED)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))
 

@@ -170,7 +170,7 @@ def _decoded(head: dict[str, str], block: bytes, n_segments: int) -> dict:
 
 def joined(origin: str, segments: list[tuple[int, bytes, str | None]]) -> bytes:
     """The block of a segmented record from (number, part, total length or None)."""
-    segments = sorted(segments)
+    segments = sorted(segments, key=lambda s: s[0])
     if [n for n, _, _ in segments] != list(range(1, len(segments) + 1)):
         raise ValueError(f"record {origin}: segments {[n for n, _, _ in segments]}")
     block, total = b"".join(p for _, p, _ in segments), segments[-1][2]
