@@ -33,11 +33,13 @@ SAMPLE_BYTES = 4000
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 WIDTH = 16
-EPOCHS = 5
+EPOCHS, LEAST_STEPS = 5, 8000
 RATE = 0.1
 #: Share of the sample that calibrates, and the share of its right predictions that may be rejected.
 CALIBRATION, MAY_REJECT = 0.25, 0.002
 UNDETERMINED = "und"
+#: Bytes of text that are scored together: some 120 bytes of numbers for each.
+PASS_BYTES = 1 << 19
 
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
 
@@ -131,6 +133,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, buckets: int = BUCKE
     cal, train = order[:n_cal], order[n_cal:]
     emb = (rng.standard_normal((buckets, width)) / width).astype(np.float32)
     lin, bias = np.zeros((width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, len(train))))  # a small sample is gone through more often
     step, total = 0, max(1, epochs * len(train))
     for _ in range(epochs):
         for i in rng.permutation(train):
@@ -198,7 +201,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in batches:
-            for some in textbuf.passes(batch, text, 2 << 20):
+            for some in textbuf.passes(batch, text, PASS_BYTES):
                 has = np.asarray(some.column(letters).fill_null(False).to_pylist(), bool)
                 best, score, rejected = m.predict(*textbuf.flat(some.column(text)))
                 added = [pa.array(names[np.where(has, best, len(m.languages))], pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(rejected | ~has)]

@@ -34,6 +34,8 @@ MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 #: Bytes of new words that are segmented together; words beyond LONG_WORD bytes go one by one.
 BATCH_BYTES, LONG_WORD = 1 << 18, 512
+#: Words whose ids a worker remembers, between tasks too.
+KNOWN_WORDS = 250_000
 
 
 class Vocabulary:
@@ -97,7 +99,7 @@ def _running(raw: np.ndarray):
 class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.memo = PieceMemo(self._encode_words)
+        self.memo = PieceMemo(self._encode_words, KNOWN_WORDS)
 
     def _edges(self, raw: np.ndarray, left: np.ndarray) -> dict[int, np.ndarray]:
         """Per length, the score of the edge that starts at each byte (-inf: none); ``left`` is the number of bytes to
