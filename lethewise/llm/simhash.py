@@ -57,7 +57,8 @@ def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_texts(texts: list[bytes], width: int, seed: int) -> np.ndarray:
+def fingerprint_texts(texts: list[bytes], width: int, seed: int, prints: int = 1) -> np.ndarray:
+    """Fingerprints [print, text]: the first of the shingles' hashes themselves, the others of the hashes mixed anew."""
     import xxhash
 
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
@@ -68,15 +69,18 @@ def fingerprint_texts(texts: list[bytes], width: int, seed: int) -> np.ndarray:
         grams = map(b" ".join, zip(*(w[j:] for j in range(width)), strict=False)) if len(w) >= width else [b" ".join(w)] * n
         hashes.append(np.fromiter(map(digest, grams), np.uint64, n))
         counts.append(n)
-    out, counts = np.zeros(len(texts), np.uint64), np.array(counts, np.int64)
+    out, counts = np.zeros((prints, len(texts)), np.uint64), np.array(counts, np.int64)
     some = np.flatnonzero(counts)
     if len(some):
-        out[some] = _majority(np.concatenate(hashes), counts[some])
+        h = np.concatenate(hashes)
+        for k in range(prints):
+            out[k, some] = _majority(h if k == 0 else textbuf.mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), counts[some])
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """``docs`` without the text, and with ``_fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42, prints: int = 1) -> DataFrame:
+    """``docs`` without the text, and with ``_fp`` (and ``_fp1`` ...), the fingerprints as signed longs."""
+    names = ["_fp", *(f"_fp{k}" for k in range(1, prints))]
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +88,10 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int
             for some in textbuf.passes(batch, text):
                 raw, off = textbuf.flat(some.column(text))
                 data, at = raw.tobytes(), off.tolist()
-                fp = fingerprint_texts([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], width, seed)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), pa.array(fp.view(np.int64))], names=[*rest, "_fp"])
+                fp = fingerprint_texts([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], width, seed, prints)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), *(pa.array(x.view(np.int64)) for x in fp)], names=[*rest, *names])
 
-    schema = docs.select(*rest).withColumn("_fp", F.lit(0).cast("long")).schema
+    schema = docs.select(*rest).withColumns({n: F.lit(0).cast("long") for n in names}).schema
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
@@ -232,16 +236,33 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD, bucket: int = BUC
     return near.where("v is not null").unionByName(full)
 
 
-def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """``docs`` without the text, with ``_fp`` and ``component_id``, the smallest id reachable over links."""
-    marked = storage.written(fingerprints(docs, text, width, seed), "fingerprints")
+def _print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
+    """Links between first fingerprints whose texts are near in another one: for each value of that, the smallest first
+    fingerprint stands for all with this value, and is linked to them and to those of near values."""
+    both = storage.written(marked.select("_fp", name).distinct(), "prints")
+    low = storage.written(both.groupBy(name).agg(F.min("_fp").alias("_rep"), F.count("*").alias("_k")), "print-groups")
+    own = lookup(both, low, name, "_k", both.count()).where("_fp <> _rep").select(F.col("_fp").alias("u"), F.col("_rep").alias("v"))
+    near = links(low.select(F.col(name).alias("_fp")), radius)
+    side = [low.select(F.col(name).alias(c), F.col("_rep").alias(f"_{c}")) for c in ("u", "v")]
+    return own.unionByName(near.join(side[0], "u").join(side[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
+
+
+def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, prints: int = 1) -> DataFrame:
+    """``docs`` without the text, with ``_fp`` and ``component_id``, the smallest id reachable over links.
+
+    With several ``prints`` two texts are linked if any of their independent fingerprints are within the radius: of texts
+    that are 0.9 alike, one print in two to five is, so a few of them find most."""
+    marked = storage.written(fingerprints(docs, text, width, seed, prints), "fingerprints")
     total = marked.count()
     fps = storage.written(marked.groupBy("_fp").agg(F.min(doc_id).alias("_low"), F.count("*").alias("_n")), "distinct")
-    label = components(links(fps, radius)).select(F.col("u").alias("_fp"), F.col("v").alias("_label"))
+    found = links(fps, radius)
+    for k in range(1, prints):
+        found = found.unionByName(storage.written(_print_links(marked, f"_fp{k}", radius), "print-links"))
+    label = components(found).select(F.col("u").alias("_fp"), F.col("v").alias("_label"))
     named = storage.written(fps.join(label, "_fp", "left").withColumn("_label", F.coalesce("_label", "_fp")), "labels")
     whole = storage.written(named.groupBy("_label").agg(F.min("_low").alias("component_id"), F.count("*").alias("_m")), "components")
     by_fp = storage.written(lookup(named, whole, "_label", "_m", fps.count()).select("_fp", "_n", "component_id"), "by_fp")
-    return lookup(marked, by_fp, "_fp", "_n", total)
+    return lookup(marked.drop(*[f"_fp{k}" for k in range(1, prints)]), by_fp, "_fp", "_n", total)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

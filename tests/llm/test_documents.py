@@ -267,6 +267,12 @@ def test_simhash_of_texts(spark):
     assert kept.count() == len({comp[f] for f in low})
     assert kept.where("doc_id between 10 and 49").count() == 0
     assert simhash.cluster(docs.limit(0)).count() == 0
+    assert simhash.cluster(docs.limit(0), prints=3).count() == 0
+    few = docs.where("doc_id < 60 or doc_id is null")
+    prints = {r.doc_id: r for r in simhash.fingerprints(few, prints=3).collect() if r.doc_id and r.doc_id > 6}
+    groups = {r.doc_id: r.component_id for r in simhash.cluster(few, prints=3).collect() if r.doc_id and r.doc_id > 6}
+    near = [(a, b) for a in prints for b in prints if any(((prints[a][c] ^ prints[b][c]) & (1 << 64) - 1).bit_count() <= 4 for c in ("_fp", "_fp1", "_fp2"))]
+    assert groups == {i: low for i, low in connected(near).items() if i in groups}
 
 
 # -- scores -----------------------------------------------------------------------------------------------------------
