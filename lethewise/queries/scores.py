@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lethewise.functions import arrays, stats
 from lethewise.functions import text as tx
-from lethewise.operators import metrics, scoring, select
+from lethewise.operators import generation, metrics, scoring, select
 from lethewise.plans import metric_plan, sweep
 
 from .frames import ANSWER_SCORES, ANSWERS, DOC_PROBS, MODELS, WORDS, answer_logprobs, answer_scores, answer_tokens, document_logprobs, document_tokens, documents, table, unnested
@@ -138,6 +138,24 @@ def drop_last_target(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.without_last_target(s, "item").groupBy("item").agg(F.count("*").alias("n_tokens"), F.round(F.sum("lp_target"), 6).alias("lp"))
 
 
+@query(f"WITH {ANSWERS}, t AS ({unnested(WORDS.format('answer'), 'items', 'item')}), n AS (SELECT item, pos, contains(string_agg(token, ' ') OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 'of the') AS found FROM t), d AS (SELECT item, pos, max(found) OVER (PARTITION BY item ORDER BY pos) AS done FROM n) SELECT item, count(*) FILTER (NOT done) AS n_before FROM d GROUP BY item")
+def stop_flags(spark: SparkSession, sf: str) -> DataFrame:
+    t = answer_tokens(spark, sf).where("kind = 'answer'").select("item", "pos", "token")
+    return generation.stop_flags(t, "item", "of the", 2).groupBy("item").agg(F.count(F.when(~F.col("done"), 1)).alias("n_before"))
+
+
+@query(f"""WITH RECURSIVE {_BIGRAM}, starts AS (SELECT item, {WORDS.format('question')}[1] AS token FROM items), g(item, last, words, step) AS (
+SELECT item, token, CAST([] AS VARCHAR[]), 0 FROM starts UNION ALL SELECT item, pred_token, list_append(words, pred_token), step + 1 FROM g JOIN best ON best.prev = g.last WHERE step < 8)
+SELECT item, arg_max(array_to_string(words, ' '), step) AS generated FROM g GROUP BY item""")
+def greedy_continuation(spark: SparkSession, sf: str) -> DataFrame:
+    from .frames import items
+
+    tokens = answer_tokens(spark, sf).where("kind = 'answer'").select("item", "pos", "token")
+    starts = items(spark, sf).select("item", F.get(tx.words("question"), 0).alias("token"))
+    made = generation.greedy_continuation(starts, generation.next_tokens(tokens, ["item"]), "item", 8)
+    return made.select("item", F.array_join("generated", " ").alias("generated"))
+
+
 # -- attacks: forget documents are members (0), holdout documents are not (1) -----------------------------------------
 
 def _auc(scores: DataFrame, name: str) -> DataFrame:

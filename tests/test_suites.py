@@ -40,3 +40,16 @@ def test_every_instance(spark):
     with pytest.raises(ValueError, match="classifier"):
         suites.plan(["forget_gibberish"], given).run()
     assert suites.plan(["forget_quality"], given).run()["forget_quality"].first().value is None
+
+
+def test_settings_and_layers(spark):
+    from lethewise.operators import generation
+    from lethewise.plans import config
+
+    assert config.unfilled({"a": {"b": "???", "c": [1, "???"]}, "d": 2}) == ["a.b", "a.c[1]"]
+    assert config.merged({"a": {"x": 1}, "l": [1], "s": 1}, {"a": {"y": 2}, "l": [2], "s": 3}) == {"a": {"x": 1, "y": 2}, "l": [1, 2], "s": 3}
+    assert (config.warmup_steps(1.0, 400, 8, 2), config.steps_per_epoch(3, 8)) == (25, 1)
+    layers = spark.createDataFrame([(1, 0, [2.0, 0.0], [2.0, 0.1]), (1, 8, [2.0, 0.0], [0.0, 3.0])], "k int, layer int, final array<double>, early array<double>")
+    row = generation.layer_contrast(layers, "k", "final", "early").first()
+    assert row.layer == 8
+    assert row.scores[0] > 0 > row.scores[1]
