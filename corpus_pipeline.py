@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethewise.llm import decontam, langid, pieces, secrets, simhash
+from lethewise.llm import decontam, langid, pieces, secrets, simhash, storage
 from lethewise.llm.queries import tokenizer_path
 
 #: Words of a shingle in the near-duplicate stage, and independent fingerprints of a text.
@@ -26,26 +26,30 @@ SHINGLE_WORDS, PRINTS = 5, 3
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.small_batches(spark)
     if docs.where("lang is not null and text is not null").isEmpty():
         return docs.limit(0)
-    found = langid.predict(docs, langid.train(docs))
-    return found.where(~F.col("lang_rejected")).select(*docs.columns)
+    return langid.keep_identified(docs, langid.train(docs))
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.small_batches(spark)
     return simhash.keep_one(docs, width=SHINGLE_WORDS, prints=PRINTS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.small_batches(spark)
     return decontam.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.small_batches(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.small_batches(spark)
     return pieces.encode(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), keep_text=False).select("doc_id", "n_pieces", "ids_crc32", "piece_ids")
 
 
@@ -63,8 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    from lethewise.llm import storage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = storage.written(stage(spark, docs, sf_dir), name)

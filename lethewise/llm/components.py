@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
+from . import storage, textbuf
 from lethewise.operators.joins import lookup
 
 #: Links that one task holds at once while it drops those that close a ring.
@@ -54,6 +54,8 @@ def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if size:
         yield flush()
+        held.clear()
+    textbuf.give_back()
 
 
 def _smallest(rows: DataFrame, name: str) -> DataFrame:

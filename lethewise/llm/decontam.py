@@ -188,15 +188,18 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones, with its own columns."""
-    return annotate(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    return storage.beside(docs, [text], lambda d: annotate(d, benchmark, text=text, **options).where("n_hit = 0"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every run of hit words, and what stands between them, cut out of the text."""
-    marked = annotate(docs, benchmark, text=text, **options)
-    schema = T.StructType([f for f in marked.schema.fields if f.name in docs.columns])
+    return storage.beside(docs, [text], lambda d: _cut_spans(annotate(d, benchmark, text=text, **options), text))
+
+
+def _cut_spans(marked: DataFrame, text: str) -> DataFrame:
+    schema = T.StructType([f for f in marked.schema.fields if f not in ADDED])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

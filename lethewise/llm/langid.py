@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textbuf
+from . import storage, textbuf
 
 #: Labelled rows per language that training may use at most (as the mean of a hash sample), and bytes of one text in it.
 SAMPLE_PER_LANGUAGE = 600
@@ -210,6 +210,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return marked.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without those that are rejected, with its own columns."""
+    return storage.beside(docs, [text], lambda d: predict(d, model, text).where(~F.col("lang_rejected")))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document belongs to the fold that nothing is learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

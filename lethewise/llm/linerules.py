@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 #: Share of a text's characters in lines that must stay.
 MIN_KEPT = 0.5
@@ -96,6 +98,4 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept documents with their cleaned texts."""
-    own = docs.columns
-    found = measure(docs, text).where("kept")
-    return found.select(*[F.col("cleaned").alias(c) if c == text else F.col(c) for c in own])
+    return storage.beside(docs, [text], lambda d: measure(d, text).where("kept").withColumn(text, F.col("cleaned")))

@@ -213,7 +213,10 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``docs`` with every span replaced by a mark; overlapping spans share one."""
-    found = scan(docs, text, fdr)
+    return storage.beside(docs, [text], lambda d: _marked(scan(d, text, fdr), text, mark))
+
+
+def _marked(found: DataFrame, text: str, mark: str) -> DataFrame:
     schema = T.StructType([f for f in found.schema.fields if f.name != "secret_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

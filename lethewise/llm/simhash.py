@@ -138,6 +138,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], dtypes: list, work: Callable) -
                 held, size = [keep], 0
     if held:
         yield call(True)[0]
+        held.clear()
+    textbuf.give_back()
 
 
 def _out(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
@@ -222,6 +224,7 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD, bucket: int = BUC
                         code = np.tile(np.arange(len(masks), dtype=np.uint8 if len(masks) < 256 else np.uint16), len(x))
                         other = [] if len(kinds) == 1 else [np.repeat((x & np.uint64(0xFFFFFFFF) if kind == 0 else x >> np.uint64(32)).astype(np.uint32), len(masks))]
                         yield from _dealt(kind, keys, [code, *other], buckets)
+                textbuf.give_back()
 
         return run
 
@@ -230,10 +233,11 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD, bucket: int = BUC
         dealt = rows.mapInArrow(deal(masks, kinds, buckets, chunk), "bucket long, kind int, n long, body binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
         return dealt.mapInArrow(lambda batches: _gathered(batches, dtypes, work), "u long, v long")
 
-    near = storage.written(meet(fps.select("_fp"), half_masks, (0, 1), [np.uint32, np.uint8, np.uint32], _half_links(radius, crowd, half_masks), fps.count(), 20_000), "halves")
+    near = storage.written(meet(fps.select("_fp"), half_masks, (0, 1), [np.uint32, np.uint8, np.uint32], _half_links(radius, crowd, half_masks), fps.count(), 5_000), "halves")
     crowds = storage.written(near.where("v is null").select(F.col("u").alias("_fp")).distinct(), "crowds")
-    full = meet(crowds, ball_masks, (0,), [np.uint64, np.uint16], _ball_links(ball_masks), crowds.count(), 1_000)
-    return near.where("v is not null").unionByName(full)
+    full = meet(crowds, ball_masks, (0,), [np.uint64, np.uint16], _ball_links(ball_masks), crowds.count(), 500)
+    # written, so that no task runs two Python workers in a row
+    return near.where("v is not null").unionByName(storage.written(full, "full-balls"))
 
 
 def _print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
@@ -268,9 +272,12 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component: the row with the component's smallest id, of rows with the same id the first as read
     in. Of rows in a component without any id, one of each fingerprint stays."""
-    own = docs.columns
+    return storage.beside(docs, [doc_id, text], lambda d: _kept(d, doc_id, text, options))
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str, options: dict) -> DataFrame:
     row = storage.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = cluster(row.select("_row", F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_id", "_text", **options)
     # the row that stands for a component: smallest id, then smallest row number; both are minima, so no group is gathered
     best = found.groupBy(F.coalesce(F.col("component_id"), F.col("_fp")).alias("_c"), F.col("component_id").isNull().alias("_none")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_b"))
-    return row.join(best.select(F.col("_b._row").alias("_row")), "_row", "left_semi").select(*own)
+    return row.join(best.select(F.col("_b._row").alias("_row")), "_row", "left_semi")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -17,6 +19,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound what goes to a Python worker at once. The JVM and the worker each hold a batch, and a few rows of long texts
+    make a large one; the operators cut batches further by themselves."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def beside(docs: DataFrame, keep: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` of the documents, with the columns of ``docs``: all but those in ``keep`` go through it under names that
+    no operator adds, and get their own names and values back."""
+    names = [(c, c if c in keep else f"_col{i}") for i, c in enumerate(docs.columns)]
+    return work(docs.select(*[F.col(f"`{c}`").alias(inner) for c, inner in names])).select(*[F.col(inner).alias(c) for c, inner in names])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and a lost executor costs
     no more than the step that reads it."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,19 @@ import pyarrow.compute as pc
 PASS_BYTES = 2 << 20
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library than glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and several may be idle on an executor."""
+    _trim()(0)
+
+
 def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes in ``column``, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -22,6 +37,7 @@ def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,8 @@ def test_stages(spark):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     extra = extra.unionByName(spark.createDataFrame([(9004, "Some words before. " + benchmark, "en", "s", 1)], docs.schema))
     docs = docs.unionByName(extra).unionByName(docs.where("doc_id = 0"))
+    for name in ("n_hit", "item_ids", "lang_pred", "lang_rejected", "secret_spans", "_base", "_row", "_fp", "kept"):
+        docs = docs.withColumn(name, F.lit(f"mine {name}"))
     before, kept = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, SF)
@@ -39,6 +41,7 @@ def test_stages(spark):
         path = f"{os.environ.get('TMPDIR', '/tmp')}/lethewise-test-{os.getpid()}-{name}"
         after.write.mode("overwrite").parquet(path)
         before = spark.read.parquet(path)
+        assert before.where("n_hit <> 'mine n_hit' or lang_pred <> 'mine lang_pred' or secret_spans <> 'mine secret_spans' or _row <> 'mine _row' or _fp <> 'mine _fp'").count() == 0
         kept[name] = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
     assert not {9002, 9003} & set(kept["language_id"])
     assert before.where("doc_id = 0").count() <= 1
