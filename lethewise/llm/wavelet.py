@@ -56,11 +56,11 @@ class WaveletShard:
         x = rank.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)[tokens]
         planes, zeros = [], []
         for level in reversed(range(max(1, int(len(alphabet) - 1).bit_length()))):
-            bit = (x >> level & 1).astype(bool)
+            bit = (x & x.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = x[~bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)  # places: half the time of masks on mixed bits
             zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([x[low], x[high]])
         return cls(planes, zeros, len(tokens), alphabet, doc_ids, np.asarray(starts, np.int64))
 
     # -- the file image ---------------------------------------------------------------------------------------------
@@ -173,8 +173,8 @@ class WaveletShard:
         for k, level in enumerate(reversed(range(len(self.zeros)))):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up, z = np.empty_like(x), self.zeros[level]
-            up[~bit] = x[:z]
-            up[bit] = x[z:] | x.dtype.type(1 << k)
+            up[np.flatnonzero(~bit)] = x[:z]
+            up[np.flatnonzero(bit)] = x[z:] | x.dtype.type(1 << k)
             x = up
         return self.alphabet[x]
 
