@@ -175,6 +175,20 @@ def test_rouge(spark):
         assert tx.lcs_length(a, b) == slow(a, b)
 
 
+def test_zlib_and_sampling(spark):
+    import zlib
+
+    said = ["", "abc" * 50, "é", None]
+    got = spark.createDataFrame([(s,) for s in said], "t string").select(tx.zlib_length("t").alias("n")).collect()
+    assert [r.n for r in got] == [None if s is None else len(zlib.compress(s.encode())) for s in said]
+    logits = [0.5, -1.0, 2.0, 0.0]
+    p = [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+    draws = [i / 97 for i in range(97)]
+    df = spark.createDataFrame([(logits, u) for u in draws], "v array<double>, u double").coalesce(1)
+    want = [next(k for k in range(4) if sum(p[: k + 1]) > u) for u in draws]
+    assert [r.t for r in df.select(arrays.sampled(F.col("v"), F.col("u")).alias("t")).collect()] == want
+
+
 def test_plan(spark):
     calls = []
 
