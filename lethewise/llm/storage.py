@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lethewise.session import ready
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; a local folder is used only where the cluster names none."""
@@ -21,8 +23,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound what goes to a Python worker at once. The JVM and the worker each hold a batch, and a few rows of long texts
-    make a large one; the operators cut batches further by themselves."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    make a large one; the operators cut batches further by themselves. Also lets the workers import this package."""
+    ready(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def beside(docs: DataFrame, keep: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
