@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. The first four r
 
 1. ``language_id`` learns from the labelled rows and drops documents whose language it can't tell: a null text, one
    without a letter, or a score below the calibrated limit;
-2. ``near_dedup`` links texts of which one of three independent fingerprints of five-word shingles is within 4 bits (texts
-   about 0.9 alike and more; those 0.8 alike in part), and keeps the document with the smallest id of each group;
+2. ``near_dedup`` links texts whose sets of five-word shingles overlap by 0.8 or more (verified on the sets), and keeps
+   the document with the smallest id of each group;
 3. ``decontaminate`` drops documents in which a window of a benchmark item occurs;
 4. ``redact_secrets`` puts a mark in place of every secret; ``n_chars``, where there is one, is the new length;
 5. ``piece_ids`` encodes the texts: doc_id, n_pieces, ids_crc32, piece_ids.
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethewise.llm import decontam, langid, pieces, secrets, simhash, storage
+from lethewise.llm import decontam, langid, neardup, pieces, secrets, storage
 from lethewise.llm.queries import tokenizer_path
 
-#: Words of a shingle in the near-duplicate stage, and independent fingerprints of a text.
-SHINGLE_WORDS, PRINTS = 5, 3
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE_WORDS = 5
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     storage.small_batches(spark)
-    return simhash.keep_one(docs, width=SHINGLE_WORDS, prints=PRINTS)
+    return neardup.keep_one(docs, width=SHINGLE_WORDS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

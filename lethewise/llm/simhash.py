@@ -57,22 +57,27 @@ def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_texts(texts: list[bytes], width: int, seed: int, prints: int = 1) -> np.ndarray:
-    """Fingerprints [print, text]: the first of the shingles' hashes themselves, the others of the hashes mixed anew."""
+def shingles(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' shingles, end to end, and their number in each text."""
     import xxhash
 
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
-    hashes, counts = [], []
+    hashes, counts = [np.zeros(0, np.uint64)], []
     for text in texts:
         w = text.lower().split()  # of bytes: A-Z and ASCII white space alone
         n = max(1, len(w) - width + 1) if w else 0
         grams = map(b" ".join, zip(*(w[j:] for j in range(width)), strict=False)) if len(w) >= width else [b" ".join(w)] * n
         hashes.append(np.fromiter(map(digest, grams), np.uint64, n))
         counts.append(n)
-    out, counts = np.zeros((prints, len(texts)), np.uint64), np.array(counts, np.int64)
+    return np.concatenate(hashes), np.array(counts, np.int64)
+
+
+def fingerprint_texts(texts: list[bytes], width: int, seed: int, prints: int = 1) -> np.ndarray:
+    """Fingerprints [print, text]: the first of the shingles' hashes themselves, the others of the hashes mixed anew."""
+    h, counts = shingles(texts, width, seed)
+    out = np.zeros((prints, len(texts)), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        h = np.concatenate(hashes)
         for k in range(prints):
             out[k, some] = _majority(h if k == 0 else textbuf.mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), counts[some])
     return out
@@ -240,7 +245,7 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD, bucket: int = BUC
     return near.where("v is not null").unionByName(storage.written(full, "full-balls"))
 
 
-def _print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
+def print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
     """Links between first fingerprints whose texts are near in another one: for each value of that, the smallest first
     fingerprint stands for all with this value, and is linked to them and to those of near values."""
     both = storage.written(marked.select("_fp", name).distinct(), "prints")
@@ -257,27 +262,31 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     With several ``prints`` two texts are linked if any of their independent fingerprints are within the radius: of texts
     that are 0.9 alike, one print in two to five is, so a few of them find most."""
     marked = storage.written(fingerprints(docs, text, width, seed, prints), "fingerprints")
-    total = marked.count()
-    fps = storage.written(marked.groupBy("_fp").agg(F.min(doc_id).alias("_low"), F.count("*").alias("_n")), "distinct")
-    found = links(fps, radius)
+    found = links(storage.written(marked.select("_fp").distinct(), "distinct"), radius)
     for k in range(1, prints):
-        found = found.unionByName(storage.written(_print_links(marked, f"_fp{k}", radius), "print-links"))
+        found = found.unionByName(storage.written(print_links(marked, f"_fp{k}", radius), "print-links"))
+    return named(marked.drop(*[f"_fp{k}" for k in range(1, prints)]), found, doc_id)
+
+
+def named(marked: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """``marked``, a written table with ``_fp``, with the ``component_id`` that links between values of ``_fp`` give."""
+    fps = storage.written(marked.groupBy("_fp").agg(F.min(doc_id).alias("_low"), F.count("*").alias("_n")), "counted")
     label = components(found).select(F.col("u").alias("_fp"), F.col("v").alias("_label"))
-    named = storage.written(fps.join(label, "_fp", "left").withColumn("_label", F.coalesce("_label", "_fp")), "labels")
-    whole = storage.written(named.groupBy("_label").agg(F.min("_low").alias("component_id"), F.count("*").alias("_m")), "components")
-    by_fp = storage.written(lookup(named, whole, "_label", "_m", fps.count()).select("_fp", "_n", "component_id"), "by_fp")
-    return lookup(marked.drop(*[f"_fp{k}" for k in range(1, prints)]), by_fp, "_fp", "_n", total)
+    labelled = storage.written(fps.join(label, "_fp", "left").withColumn("_label", F.coalesce("_label", "_fp")), "labels")
+    whole = storage.written(labelled.groupBy("_label").agg(F.min("_low").alias("component_id"), F.count("*").alias("_m")), "components")
+    by_fp = storage.written(lookup(labelled, whole, "_label", "_m", fps.count()).select("_fp", "_n", "component_id"), "by_fp")
+    return lookup(marked, by_fp, "_fp", "_n", marked.count())
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component: the row with the component's smallest id, of rows with the same id the first as read
     in. Of rows in a component without any id, one of each fingerprint stays."""
-    return storage.beside(docs, [doc_id, text], lambda d: _kept(d, doc_id, text, options))
+    return storage.beside(docs, [doc_id, text], lambda d: kept(d, doc_id, text, options))
 
 
-def _kept(docs: DataFrame, doc_id: str, text: str, options: dict) -> DataFrame:
+def kept(docs: DataFrame, doc_id: str, text: str, options: dict, how: Callable = cluster) -> DataFrame:
     row = storage.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = cluster(row.select("_row", F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_id", "_text", **options)
+    found = how(row.select("_row", F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_id", "_text", **options)
     # the row that stands for a component: smallest id, then smallest row number; both are minima, so no group is gathered
     best = found.groupBy(F.coalesce(F.col("component_id"), F.col("_fp")).alias("_c"), F.col("component_id").isNull().alias("_none")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_b"))
     return row.join(best.select(F.col("_b._row").alias("_row")), "_row", "left_semi")
