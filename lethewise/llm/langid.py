@@ -2,8 +2,8 @@
 
 A text is the average of the embeddings of its character n-grams (of bytes, lower-cased in A-Z, within words with a mark
 at either end), hashed into buckets; a linear layer and a softmax give the languages' probabilities. Embeddings and layer
-are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows, taken by a hash of the
-text and of even size per language. A part of the sample is kept from training; it sets the softmax's temperature and,
+are trained together by stochastic gradient descent in numpy on a bounded sample of labelled texts: per language, those of
+the smallest hashes, copies counted once. A part of the sample is kept from training; it sets the softmax's temperature and,
 per language, the score below which a prediction is rejected.
 
 At prediction the embeddings and the layer are multiplied out, so that an n-gram costs one look-up of a row with one
@@ -21,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import storage, textbuf
 
-#: Labelled rows per language that training may use at most (as the mean of a hash sample), and bytes of one text in it.
+#: Different labelled texts per language that training uses at most, and characters of one text in it.
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE_BYTES = 4000
 ORDERS = (1, 2, 3, 4)
@@ -174,17 +174,29 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, buckets: int = BUCKE
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", where: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit a model on a hash sample of the labelled rows of ``docs`` (those for which ``where`` holds)."""
+    """Fit a model on a hash sample of the different labelled texts of ``docs`` (those for which ``where`` holds)."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     if where is not None:
         rows = rows.where(where)
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(label) == name, min(1.0, per_language / n)).otherwise(share)
-    taken = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.select(F.col(text).alias("t"), F.col(label).alias("_label"), F.xxhash64(text).alias("_hash"))
+    # copies of a text are one; a language's smallest hashes are its sample, so none is left out and none exceeds the limit
+    by_hash = Window.partitionBy("_label").orderBy("_hash")
+    least = rows.select("_label", "_hash").distinct().withColumn("_place", F.row_number().over(by_hash)).where(F.col("_place") <= per_language)
+    taken = rows.join(F.broadcast(least.select("_label", "_hash")), ["_label", "_hash"]).select("t", "_label", "_hash")
+
+    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # no more than the sample
+        for batch in batches:
+            at = []
+            for i, key in enumerate(zip(batch.column("_label").to_pylist(), batch.column("_hash").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    at.append(i)
+            yield batch.take(pa.array(at, pa.int64()))
+
+    taken = taken.mapInArrow(first_of_each, taken.schema).groupBy("_label", "_hash").agg(F.min("t").alias("t"))
     # the sample's texts are cut to a stated size: the model is fitted on them, and predicts on whole texts
-    got = taken.select(F.substring(text, 1, SAMPLE_BYTES).alias("t"), label).orderBy(F.xxhash64("t"), "t", label).collect()
+    got = taken.select(F.substring("t", 1, SAMPLE_BYTES).alias("t"), "_label").orderBy(F.xxhash64("t"), "t", "_label").collect()
     return fit([r[0] for r in got], [r[1] for r in got])
 
 

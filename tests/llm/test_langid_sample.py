@@ -1,0 +1,18 @@
+"""The sample that language identification learns from, where texts are copied many times."""
+
+from pyspark.sql import functions as F
+
+from lethewise.llm import langid
+
+
+def test_sample_of_copies(spark, monkeypatch):
+    got = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: got.update(rows=list(zip(labels, texts, strict=True))))
+    few = spark.range(6000).select(F.concat(F.lit("copied text "), F.element_at(F.array(*map(F.lit, "abcdefgh")), (F.col("id") % 3 + 1).cast("int"))).alias("text"), F.lit("xx").alias("lang"))
+    many = spark.range(3000).select(F.concat(F.lit("text of its own "), F.col("id").cast("string")).alias("text"), F.lit("yy").alias("lang"))
+    hot = spark.range(3000).select(F.lit("one hot text").alias("text"), F.lit("yy").alias("lang"))
+    langid.train(few.unionByName(many).unionByName(hot))
+    rows = got["rows"]
+    assert sorted(t for v, t in rows if v == "xx") == ["copied text a", "copied text b", "copied text c"]
+    assert len([v for v, _ in rows if v == "yy"]) == langid.SAMPLE_PER_LANGUAGE
+    assert len(set(rows)) == len(rows)
