@@ -32,6 +32,7 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 
 _KEYS = textbuf.mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * textbuf._ODD)
+_BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * textbuf._ODD
 _SALT, _FACTOR = _KEYS[::2], _KEYS[1::2] | np.uint64(1)
 
 
@@ -40,7 +41,7 @@ def bands(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.cumsum(counts) - counts
     out = np.empty((len(counts), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(counts), np.uint64(b + 1) * textbuf._ODD, np.uint64)
+        key = np.full(len(counts), _BAND[b], np.uint64)
         for k in range(b * ROWS, (b + 1) * ROWS):
             x = h ^ _SALT[k]
             x *= _FACTOR[k]
