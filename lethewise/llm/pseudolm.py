@@ -1,20 +1,32 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network predicts every word of a text from the words on both sides of it, with the word itself hidden; the sum of
-the log-probabilities over all words is the text's pseudo-log-likelihood. Words are hashed into buckets. Buckets fall
-into classes by the corpus's counts (the most frequent are classes of their own, the others share classes of equal mass),
-and log p(word) = log p(class | both sides) + log p(bucket | class), the first from the network, the second from counts.
+A network predicts every word of a text from the words on both sides of it, with the word itself hidden; the sum of the
+log-probabilities over all words is the text's pseudo-log-likelihood.
 
-What the model knows comes from all documents:
+Words. All documents' distinct words are counted by a distributed aggregate; this vocabulary grows with the corpus and is
+never collected. The ``HEAD`` most frequent words are units of their own; every other word belongs to one of ``TAIL``
+units, by its last two bytes.
 
-1. every task counts the buckets of all its words; the counts are summed by bucket;
-2. every task trains the network, in numpy, by stochastic gradient descent over all words of its documents, from the same
-   start; the tasks' weights, in blocks, are averaged by numbers of words in two rounds of a shuffle;
-3. every task scores its documents with the averaged network, which (like the counts) has a fixed size.
+Network. The embeddings of two units on either side make a hidden vector. A softmax over classes of units gives
+p(class | both sides); a second softmax, over ``TOPICS`` topics, weighs as many tables of p(unit | class, topic), so that
+a word is predicted from its sides within its class as well:
+
+    log p(word | sides) = log p(class | sides) + log sum_t p(t | sides) p(unit | class, t) + log p(word | unit)
+
+Training is in numpy. The embeddings and both softmaxes follow gradient descent; the tables are expected counts, which
+add up over tasks. Texts are dealt by hash into parts of about ``PART_WORDS`` words and those into ``ROUNDS`` slices, so
+what is learned depends on the documents and not on the number of tasks. A warm start on one slice tells the topics
+apart; then, in each round, every part learns from its slice of that round, and the results are averaged by numbers of
+words. All words of all documents are learned from.
+
+p(word | unit), for words of the tail, is the word's share of its unit's mass in the *other* documents, smoothed by
+``ALPHA``: the document's own occurrences are taken off. (Document, tail word) pairs, already summed per document, meet
+the vocabulary in a shuffle; no tail word makes up more than a ``HEAD``-th of all words. ``n_unseen`` counts the words of
+a text that occur in no other.
 
 Defined results: a null or wordless text has 0 words, a sum of 0 and a null mean; repeated rows are counted, learned
-from, and scored each; on an empty table nothing is learned and there are no rows. Other columns of the input are kept;
-the names added are in ``ADDED``.
+from, and scored each; on an empty table nothing is learned and there are no rows. All columns but the text are kept
+(those named as in ``ADDED``, in any case of letters, are replaced).
 """
 
 from __future__ import annotations
@@ -25,141 +37,309 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textbuf
+from . import storage, textbuf
 
-BUCKETS = 1 << 14
+HEAD, TAIL = (1 << 15) - 256, 256
 CLASSES, OWN_CLASS = 64, 32
-WIDTH = 16
+TOPICS, WIDTH = 16, 16
 #: Weights of the neighbours at distance 1 and 2, on either side.
 REACH = (1.0, 0.5)
-STEP_WORDS = 4096
-RATE = 0.5
-#: Numbers of a block of weights, and the groups of tasks that the first round of averaging forms.
-BLOCK, GROUPS = 1 << 14, 64
-
-ADDED = [T.StructField("n_words", T.LongType()), T.StructField("pll", T.DoubleType()), T.StructField("pll_mean", T.DoubleType())]
+STEP_WORDS, RATE = 1024, 1.0
+#: Words of a part, rounds, and the words that a slice learns from at least: smaller ones are gone through again.
+PART_WORDS, ROUNDS, LEAST_WORDS, MOST_PASSES = 4_000_000, 4, 400_000, 16
+#: The tables are made anew after so many words; what earlier rounds counted weighs as much as START_WORDS in a slice.
+TABLE_WORDS, START_WORDS = 32_768, 200_000
+#: Share of the unit's overall share of its class in each topic's.
+FLOOR = 0.02
+ALPHA = 0.1
+#: Numbers of a block of weights; distinct words that a counting task holds.
+BLOCK, HELD_WORDS = 1 << 14, 1 << 20
+
+ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_unseen", T.LongType()), T.StructField("pll", T.DoubleType()), T.StructField("pll_mean", T.DoubleType())]
 
 _CODE = np.arange(256)
 _WORD = (_CODE >= 0x80) | ((_CODE >= 0x30) & (_CODE <= 0x39)) | ((_CODE >= 0x61) & (_CODE <= 0x7A))
 _LOWER = np.where((_CODE >= 0x41) & (_CODE <= 0x5A), _CODE + 32, _CODE).astype(np.uint8)
 
 
-def buckets_of(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words of the texts, and the text of each."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each word of the texts, and the text of each. The key's low bits tell the word's tail unit; the
+    others are a hash."""
     raw, offsets = textbuf.flat(column)
     raw = _LOWER[raw]
     s, e, doc = textbuf.words_at(raw, _WORD, offsets)
-    return (textbuf.hashes(raw, s, e) % np.uint64(buckets)).astype(np.int32), doc
+    if not len(s):
+        return np.zeros(0, np.uint64), doc
+    ending = raw[e - 1].astype(np.uint64) * np.uint64(31) + np.where(e - s > 1, raw[np.maximum(e - 2, 0)], 0).astype(np.uint64)
+    return textbuf.hashes(raw, s, e) // np.uint64(TAIL) * np.uint64(TAIL) + ending % np.uint64(TAIL), doc
 
 
-def sides(words: np.ndarray, doc: np.ndarray, edge: int) -> list[np.ndarray]:
+def sides(units: np.ndarray, doc: np.ndarray, edge: int) -> list[np.ndarray]:
     """The neighbours at distance 1 and 2 on the left, then on the right; ``edge`` where the text has ended."""
     out = []
     for step in (-1, -2, 1, 2):
-        k = np.full(len(words), edge, np.int32)
+        k = np.full(len(units), edge, np.int32)
         a, b = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
-        if len(words) > abs(step):
-            k[a] = np.where(doc[a] == doc[b], words[b], edge)
+        if len(units) > abs(step):
+            k[a] = np.where(doc[a] == doc[b], units[b], edge)
         out.append(k)
     return out
 
 
 @dataclass
-class Shape:
-    """What counts fix: the class of each bucket, and log p(bucket | class)."""
+class Units:
+    """What the corpus's counts fix. ``known`` are the head's keys in ascending order, ``unit`` their units."""
 
-    class_of: np.ndarray
-    log_share: np.ndarray
+    known: np.ndarray
+    unit: np.ndarray
+    class_of: np.ndarray  # of each unit
+    share: np.ndarray  # of each unit in its class
+    mass: np.ndarray  # of each class; an empty one has none
 
     @classmethod
-    def of(cls, counts: np.ndarray, classes: int = CLASSES, own: int = OWN_CLASS) -> Shape:
-        n = counts.astype(np.float64) + 1  # a bucket that never occurred has a share as well
-        order = np.argsort(-n, kind="stable")
+    def of(cls, head: list[tuple[int, int]], tail: np.ndarray, classes: int = CLASSES, own: int = OWN_CLASS) -> Units:
+        """From (key, count) of the head's words, the most frequent first, and the words in each tail unit."""
+        keys = np.array([k for k, _ in head], np.int64).view(np.uint64)
+        n = np.concatenate([np.array([c for _, c in head], np.float64), tail]) + 1  # an empty unit has a share as well
+        by_count = np.argsort(-n, kind="stable")
         class_of = np.zeros(len(n), np.int32)
         own = min(own, len(n))
-        class_of[order[:own]] = np.arange(own)
-        rest = order[own:]
+        class_of[by_count[:own]] = np.arange(own)
+        rest = by_count[own:]
         mass = np.cumsum(n[rest])
         if len(rest):
             class_of[rest] = own + np.minimum(classes - own - 1, (mass - n[rest]) / mass[-1] * (classes - own)).astype(np.int32)
+        order = np.argsort(keys)
         total = np.bincount(class_of, weights=n, minlength=classes)
-        return cls(class_of, np.log(n / total[class_of]))
+        return cls(keys[order], order.astype(np.int32), class_of, (n / total[class_of]).astype(np.float32), total / total.sum())
+
+    def __post_init__(self):
+        # where a key's leading bits belong to one word of the head, a table look-up finds it; else a search does
+        slot = (self.known >> np.uint64(44)).astype(np.int64)
+        self.first, self.several = np.full(1 << 20, -1, np.int32), np.zeros(1 << 20, bool)
+        self.first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.several[slot[1:][slot[1:] == slot[:-1]]] = True
+
+    def number(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of words, and which of the words are in the tail."""
+        tail = np.ones(len(keys), bool)
+        out = (len(self.known) + (keys % np.uint64(TAIL)).astype(np.int64)).astype(np.int32)
+        if len(self.known):
+            slot = (keys >> np.uint64(44)).astype(np.int64)
+            at = self.first[slot]
+            more = np.flatnonzero(self.several[slot])
+            at[more] = np.minimum(np.searchsorted(self.known, keys[more]), len(self.known) - 1)
+            found = (at >= 0) & (self.known[at] == keys)
+            out[found] = self.unit[at[found]]
+            tail = ~found
+        return out, tail
 
 
 class Network:
-    """Left and right embeddings, one linear layer and a softmax over classes; all weights in one vector."""
-
-    def __init__(self, weights: np.ndarray | None = None, buckets: int = BUCKETS, classes: int = CLASSES, width: int = WIDTH, seed: int = 11):
-        rows = buckets + 1
-        sizes = [rows * width, rows * width, width * classes, classes]
-        if weights is None:
+    """Embeddings, two softmaxes and the topics' tables, all in one vector of weights. The last unit is a text's edge."""
+
+    def __init__(self, units: Units, weights: np.ndarray | None = None, classes: int = CLASSES, topics: int = TOPICS, width: int = WIDTH, seed: int = 11):
+        n = len(units.class_of)
+        shapes = [(n + 1, width), (n + 1, width), (width, classes), (classes,), (width, topics), (topics,), (n, topics)]
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        fresh = weights is None
+        self.units, self.weights = units, np.zeros(ends[-1], np.float32) if fresh else weights
+        self.left, self.right, self.linear, self.bias, self.mixer, self.mixer_bias, self.counts = (w.reshape(s) for w, s in zip(np.split(self.weights, ends[:-1]), shapes, strict=True))  # views
+        order = np.argsort(units.class_of, kind="stable")
+        first = np.flatnonzero(np.diff(units.class_of[order], prepend=-1))
+        self._order, self._first, self._of = order, first, np.cumsum(np.diff(units.class_of[order], prepend=-1) > 0) - 1
+        if fresh:
             rng = np.random.default_rng(seed)
-            weights = np.zeros(sum(sizes), np.float32)
-            weights[: 2 * rows * width] = rng.standard_normal(2 * rows * width) * 0.3
-            weights[2 * rows * width : -classes] = rng.standard_normal(width * classes) * 0.1
-        self.weights, self.buckets = weights, buckets
-        left, right, self.linear, self.bias = np.split(weights, np.cumsum(sizes)[:-1])  # views
-        self.left, self.right = left.reshape(rows, width), right.reshape(rows, width)
-        self.linear = self.linear.reshape(width, classes)
+            self.left[:], self.right[:] = (rng.standard_normal((2, n + 1, width)) * 0.3).astype(np.float32)
+            self.bias[:] = np.log(np.maximum(units.mass, 1e-12))
+            self.linear[:], self.mixer[:] = rng.standard_normal((width, classes)) * 0.1, rng.standard_normal((width, topics)) * 0.3
+            self.counts[:] = units.share[:, None] * np.exp(0.5 * rng.standard_normal((n, topics)))  # told apart a little
+            self.counts /= self.counts.sum()
+        self.retable(self.counts)
+
+    def retable(self, counts: np.ndarray) -> None:
+        """p(unit | class, topic) from expected counts; the unit's overall share keeps each above zero."""
+        mass = np.empty_like(counts)
+        mass[self._order] = np.add.reduceat(counts[self._order], self._first, axis=0)[self._of]
+        self.table = (1 - FLOOR) * counts / np.maximum(mass, 1e-30) + FLOOR * self.units.share[:, None]
 
     def hidden(self, near: list[np.ndarray]) -> np.ndarray:
         a, b, c, d = near
         one, two = (np.float32(r) for r in REACH)
         return np.tanh(one * self.left[a] + two * self.left[b] + one * self.right[c] + two * self.right[d])
 
-    def log_probability(self, near: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        """log p(class) of every word."""
-        out = np.empty(len(target), np.float64)
-        for i in range(0, len(target), STEP_WORDS):
-            z = self.hidden([k[i : i + STEP_WORDS] for k in near]) @ self.linear + self.bias
-            z -= z.max(1, keepdims=True)
-            t = target[i : i + STEP_WORDS]
-            out[i : i + STEP_WORDS] = z[np.arange(len(t)), t] - np.log(np.exp(z).sum(1))
+    def _parts(self, near: list[np.ndarray], unit: np.ndarray):
+        h = self.hidden(near)
+        p, q = h @ self.linear + self.bias, h @ self.mixer + self.mixer_bias
+        for x in (p, q):
+            np.exp(x - x.max(1, keepdims=True), out=x)
+            x /= x.sum(1, keepdims=True)
+        return h, p, q, q * self.table[unit]
+
+    def log_probability(self, near: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
+        """log p(unit | both sides) of every word."""
+        out = np.empty(len(unit), np.float64)
+        for i in range(0, len(unit), 4 * STEP_WORDS):
+            u = unit[i : i + 4 * STEP_WORDS]
+            _, p, _, joint = self._parts([k[i : i + 4 * STEP_WORDS] for k in near], u)
+            out[i : i + 4 * STEP_WORDS] = np.log(np.maximum(p[np.arange(len(u)), self.units.class_of[u]], 1e-30)) + np.log(np.maximum(joint.sum(1), 1e-30))
         return out
 
-    def learn(self, near: list[np.ndarray], target: np.ndarray, rate: float = RATE) -> None:
-        """Steps of gradient descent over all words, in order; a row of an embedding moves by its mean gradient."""
+    def slopes(self, near: list[np.ndarray], unit: np.ndarray):
+        """Slopes of -log p, word by word: at the class softmax, the topic softmax and the hidden sums; the hidden vectors
+        and the topics' shares in each word."""
+        h, p, q, share = self._parts(near, unit)
+        share /= np.maximum(share.sum(1, keepdims=True), np.float32(1e-30))
+        p[np.arange(len(unit)), self.units.class_of[unit]] -= 1
+        q -= share
+        return p, q, (p @ self.linear.T + q @ self.mixer.T) * (1 - h * h), h, share
+
+    def learn(self, near: list[np.ndarray], unit: np.ndarray, rate: float = RATE) -> None:
+        """Steps of gradient descent over all words, in order; a row of an embedding moves by its mean slope. The tables
+        follow the expected counts, which replace ``counts`` in the end (as shares of all words)."""
         one, two = (np.float32(r) for r in REACH)
-        for i in range(0, len(target), STEP_WORDS):
-            now, t = [k[i : i + STEP_WORDS] for k in near], target[i : i + STEP_WORDS]
-            h = self.hidden(now)
-            p = h @ self.linear + self.bias
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            back = (p @ self.linear.T) * (1 - h * h)
-            self.linear -= np.float32(rate / len(t)) * (h.T @ p)
+        start, seen, since = self.counts * np.float32(START_WORDS), np.zeros_like(self.counts), 0
+        for i in range(0, len(unit), STEP_WORDS):
+            now, u = [k[i : i + STEP_WORDS] for k in near], unit[i : i + STEP_WORDS]
+            p, q, back, h, share = self.slopes(now, u)
+            rows, sums, _ = _by_row(u, share)
+            seen[rows] += sums
+            self.linear -= np.float32(rate / len(u)) * (h.T @ p)
             self.bias -= np.float32(rate) * p.mean(0)
+            self.mixer -= np.float32(rate / len(u)) * (h.T @ q)
+            self.mixer_bias -= np.float32(rate) * q.mean(0)
             for table, (x, y) in ((self.left, now[:2]), (self.right, now[2:])):
-                rows = np.concatenate([x, y])
-                order = np.argsort(rows.astype(np.uint16) if self.buckets < 1 << 16 else rows, kind="stable")
-                rows = rows[order]
-                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                grad = np.add.reduceat(np.concatenate([one * back, two * back])[order], first, axis=0)
-                table[rows[first]] -= np.float32(rate) * grad / np.diff(np.append(first, len(rows)))[:, None].astype(np.float32)
+                rows, sums, n = _by_row(np.concatenate([x, y]), np.concatenate([one * back, two * back]))
+                table[rows] -= np.float32(rate) * sums / n[:, None].astype(np.float32)
+            since += len(u)
+            if since >= TABLE_WORDS:
+                since = 0
+                self.retable(start + seen)
+        if len(unit):
+            self.counts[:] = seen / seen.sum()
+            self.retable(start + seen)
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values, and their numbers."""
+    order = np.argsort(rows.astype(np.uint16) if int(rows.max(initial=0)) < 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
+
+
+# -- words of the corpus ----------------------------------------------------------------------------------------------
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every distinct word's key and number, over all documents; a written table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed():
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+
+        def row(keys, n):
+            return pa.RecordBatch.from_pydict({"word": pa.array(keys.view(np.int64)), "n": pa.array(n)})
 
-def counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """Words of all documents by bucket."""
+        for batch in batches:
+            for some in textbuf.passes(batch, text):
+                held.append(np.unique(words_of(some.column(text))[0], return_counts=True))
+                size += len(held[-1][0])
+                if size >= 2 * HELD_WORDS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size >= HELD_WORDS:
+                        yield row(*held[0])
+                        held, size = [], 0
+        if size:
+            yield row(*summed())
+
+    return storage.written(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+
+
+def units_of(words: DataFrame, head: int = HEAD) -> tuple[Units, np.ndarray, Column]:
+    """Units of a vocabulary; for each tail unit (words, distinct words); and whether a row of it is in the tail."""
+    top = [tuple(r) for r in words.orderBy(F.desc("n"), "word").limit(head).collect()]  # ``head`` rows at most
+    last = top[-1] if top else (0, 0)
+    rare = (F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > last[0]))
+    tail = np.zeros((TAIL, 2))
+    for u, n, k in words.where(rare).groupBy(F.pmod("word", F.lit(TAIL)).alias("u")).agg(F.sum("n"), F.count("*")).collect():  # TAIL rows
+        tail[u] = n, k
+    return Units.of(top, tail[:, 0]), tail, rare
+
+
+def _coded(docs: DataFrame, units: Units, text: str) -> DataFrame:
+    """``docs`` without the text, with n_words, the words' units (16 bits each), and the distinct words of the tail with
+    their numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+    rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for some in textbuf.passes(batch, text):
-                total += np.bincount(buckets_of(some.column(text), buckets)[0], minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+                keys, doc = words_of(some.column(text))
+                unit, rare = shared.value.number(keys)
+                n = np.bincount(doc, minlength=some.num_rows)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                body = textbuf.tiles(np.frombuffer(unit.astype("<u2").tobytes(), np.uint8), 2 * ends).cast(pa.binary())
+                where, key = doc[rare], keys[rare]
+                order = np.lexsort((key, where))
+                where, key = where[order], key[order]
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])])) if len(key) else np.zeros(0, np.int64)
+                upto = pa.array(np.searchsorted(where[first], np.arange(some.num_rows + 1)), pa.int32())
+                words, times = pa.array(key[first].view(np.int64)), pa.array(np.diff(np.append(first, len(key))), pa.int32())
+                tail = pa.ListArray.from_arrays(upto, pa.StructArray.from_arrays([words, times], ["word", "k"]))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), pa.array(n, pa.int64()), body, tail], names=[*rest, "_n", "_units", "_tail"])
+
+    more = [T.StructField("_n", T.LongType()), T.StructField("_units", T.BinaryType()), T.StructField("_tail", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("k", T.IntegerType())])))]
+    return docs.mapInArrow(run, T.StructType([*docs.select(*rest).schema.fields, *more]))
+
+
+_PACKS = "part int, slice int, seq int, n long, keys binary, sizes binary, units binary"
 
-    out = np.zeros(buckets, np.int64)
-    for bucket, n in docs.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # ``buckets`` rows at most
-        out[bucket] = n
-    return out
 
+def packs(coded: DataFrame, total: int, part_words: int = PART_WORDS, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (part, slice, seq) with many texts' units each, from rows (_key, _hash, _n, _units); a written table."""
+    parts = max(1, -(-total // part_words))
+    most = max(1, 2 * part_words // rounds)
+    where = F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(parts)).cast("int").alias("part"), F.pmod("_hash", F.lit(rounds)).cast("int").alias("slice")
+    rows = coded.where("_n > 0").select(*where, "_hash", "_key", "_units").repartition("part", "slice").sortWithinPartitions("part", "slice", "_hash", "_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seq, held, size = None, 0, [], 0
+
+        def row():
+            sizes = np.array([len(u) // 2 for _, u in held], "<i4")
+            body = {"keys": np.array([k for k, _ in held], "<i8").tobytes(), "sizes": sizes.tobytes(), "units": b"".join(u for _, u in held)}
+            return pa.RecordBatch.from_pydict({"part": pa.array([now[0]], pa.int32()), "slice": pa.array([now[1]], pa.int32()), "seq": pa.array([seq], pa.int32()), "n": pa.array([size], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in body.items()}})
+
+        for batch in batches:
+            for part, slice_, key, units in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "_key", "_units")), strict=True):
+                if held and (now != (part, slice_) or size >= most):
+                    yield row()
+                    seq, held, size = seq + 1 if now == (part, slice_) else 0, [], 0
+                now = part, slice_
+                held.append((key, units))
+                size += len(units) // 2
+        if held:
+            yield row()
+
+    return storage.written(rows.mapInArrow(run, _PACKS), "packs")
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a pack's texts, units of all words, and the number of the text of each."""
+    sizes = np.frombuffer(row["sizes"], "<i4")
+    return np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["units"], "<u2").astype(np.int32), np.repeat(np.arange(len(sizes)), sizes)
+
+
+# -- training ---------------------------------------------------------------------------------------------------------
 
 _BLOCKS = "block int, task int, n long, body binary"
 
@@ -183,54 +363,99 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[Shape, Network]:
-    """Counts and the averaged network of all documents."""
-    spark = docs.sparkSession
-    shape = Shape.of(counts(docs, text))
-    shared = spark.sparkContext.broadcast(shape.class_of)
+def _round(some: DataFrame, network: Network, groups: int) -> np.ndarray | None:
+    """Every pack learns by itself from ``network``; the mean of the weights, by words."""
+    shared = some.sparkSession.sparkContext.broadcast((network.units, network.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of, net, n = shared.value, Network(), 0
+        units, start = shared.value
+        total, mass = None, 0
         for batch in batches:
-            for some in textbuf.passes(batch, text):
-                words, doc = buckets_of(some.column(text))
-                net.learn(sides(words, doc, BUCKETS), class_of[words])
-                n += len(words)
-        if n:
-            parts = [net.weights[i : i + BLOCK].tobytes() for i in range(0, len(net.weights), BLOCK)]
-            k, task = len(parts), TaskContext.get().partitionId() % GROUPS
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(k), pa.int32()), "task": pa.array([task] * k, pa.int32()), "n": pa.array([n] * k, pa.int64()), "body": pa.array(parts, pa.binary())})
+            for row in batch.to_pylist():
+                net = Network(units, start.copy())
+                _, unit, doc = _unpacked(row)
+                near = sides(unit, doc, len(units.class_of))
+                for _ in range(min(MOST_PASSES, max(1, -(-LEAST_WORDS // max(1, len(unit)))))):
+                    net.learn(near, unit)
+                total = (0 if total is None else total) + net.weights.astype(np.float64) * len(unit)
+                mass += len(unit)
+        if mass:
+            mean = (total / mass).astype(np.float32)
+            parts = [mean[i : i + BLOCK].tobytes() for i in range(0, len(mean), BLOCK)]
+            k, task = len(parts), TaskContext.get().partitionId() % groups
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(k), pa.int32()), "task": pa.array([task] * k, pa.int32()), "n": pa.array([mass] * k, pa.int64()), "body": pa.array(parts, pa.binary())})
+        textbuf.give_back()
 
     def mean(rows: DataFrame) -> DataFrame:
         return rows.repartition("block", "task").sortWithinPartitions("block", "task").mapInArrow(_averaged, _BLOCKS)
 
-    groups = mean(docs.select(text).mapInArrow(run, _BLOCKS))
-    blocks = mean(groups.withColumn("task", F.lit(0))).orderBy("block").collect()  # the weights of one network
-    return shape, Network(np.frombuffer(b"".join(r["body"] for r in blocks), np.float32).copy() if blocks else None)
-
-
-def score(docs: DataFrame, shape: Shape, network: Network, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, pll (the sum of log-probabilities) and pll_mean."""
-    taken = {f.name for f in ADDED}
-    own = [c for c in docs.columns if c.lower() not in taken]
-    docs = docs.select(*own)
-    shared = docs.sparkSession.sparkContext.broadcast((shape, network.weights))
+    in_groups = mean(some.mapInArrow(run, _BLOCKS))
+    blocks = (mean(in_groups.withColumn("task", F.lit(0))) if groups > 1 else in_groups).orderBy("block").collect()  # the weights of one network
+    shared.unpersist()
+    return np.frombuffer(b"".join(r["body"] for r in blocks), np.float32).copy() if blocks else None
+
+
+def train(packed: DataFrame, units: Units, rounds: int = ROUNDS) -> Network:
+    """The network of all packs."""
+    network = Network(units)
+    first = packed.agg(F.min(F.struct("part", "slice", "seq"))).first()[0]
+    if first is None:
+        return network
+    n = packed.count()
+    network = Network(units, _round(packed.where((F.col("part") == first["part"]) & (F.col("slice") == first["slice"]) & (F.col("seq") == first["seq"])), network, 1))
+    for r in range(rounds):
+        before = network.counts.copy()
+        weights = _round(packed.where(F.col("slice") == r), network, max(1, round((n / rounds) ** 0.5)))
+        if weights is not None:
+            network = Network(units, weights)
+            # counts of all rounds, the later ones (made with better tables) weighing more
+            network.counts[:] = (network.counts + before / 2) / (network.counts + before / 2).sum()
+            network.retable(network.counts)
+    return network
+
+
+# -- scoring ----------------------------------------------------------------------------------------------------------
+
+def _scored(packed: DataFrame, network: Network) -> DataFrame:
+    """(_key, lp): the network's part of each text's sum."""
+    shared = packed.sparkSession.sparkContext.broadcast((network.units, network.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = shared.value
-        net = Network(weights)
+        net = None
         for batch in batches:
-            for some in textbuf.passes(batch, text):
-                words, doc = buckets_of(some.column(text))
-                lp = net.log_probability(sides(words, doc, BUCKETS), known.class_of[words]) + known.log_share[words]
-                n = np.bincount(doc, minlength=some.num_rows)
-                total = np.bincount(doc, weights=lp, minlength=some.num_rows)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], names=[*own, *(f.name for f in ADDED)])
+            net = net or Network(*shared.value)
+            for row in batch.to_pylist():
+                key, unit, doc = _unpacked(row)
+                lp = net.log_probability(sides(unit, doc, len(net.units.class_of)), unit)
+                yield pa.RecordBatch.from_pydict({"_key": pa.array(key), "lp": pa.array(np.bincount(doc, weights=lp, minlength=len(key)))})
+        textbuf.give_back()
+
+    return packed.mapInArrow(run, "_key long, lp double")
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))
 
+def _tail_scores(coded: DataFrame, words: DataFrame, tail: np.ndarray) -> DataFrame:
+    """(_key, lt, unseen): what the words of the tail add to each text's sum, and how many occur in no other text."""
+    pairs = coded.where(F.size("_tail") > 0).select("_key", F.explode("_tail").alias("t")).select("_key", "t.word", "t.k")
+    mass = F.get(F.array(*[F.lit(float(n + ALPHA * k)) for n, k in tail]), F.pmod("word", F.lit(TAIL)).cast("int"))
+    met = pairs.join(words, "word").select("_key", "k", (F.col("n") - F.col("k")).alias("others"), mass.alias("mass"))
+    return met.groupBy("_key").agg(F.sum(F.col("k") * F.log((F.col("others") + ALPHA) / F.col("mass"))).alias("lt"), F.sum(F.when(F.col("others") == 0, F.col("k")).otherwise(0)).alias("unseen"))
 
-def pseudo_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Train on all of ``docs``, and score them."""
-    return score(docs, *train(docs, text), text)
+
+def pseudo_likelihood(docs: DataFrame, text: str = "text", head: int = HEAD, part_words: int = PART_WORDS) -> DataFrame:
+    """Train on all of ``docs``, and score them: the columns of ``docs`` without the text, and those of ADDED."""
+    taken = {f.name for f in ADDED}
+    own = [c for c in docs.columns if c != text and c.lower() not in taken]
+    plain = [f.name for f in docs.schema.fields if f.name in (text, *own) and isinstance(f.dataType, T.AtomicType)]
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("_hash"), *[F.col(f"`{c}`").alias(f"_col{i}") for i, c in enumerate(own)])
+    words = vocabulary(rows)
+    units, tail, rare = units_of(words, head)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    coded = storage.written(_coded(rows.withColumn("_key", F.monotonically_increasing_id()), units, "text"), "coded")
+    packed = packs(coded, total, part_words)
+    network = train(packed, units)
+    whole = coded.drop("_units", "_tail", "_hash").join(_scored(packed, network), "_key", "left").join(_tail_scores(coded, words.where(rare), tail), "_key", "left")
+    pll = F.coalesce("lp", F.lit(0.0)) + F.coalesce("lt", F.lit(0.0))
+    return whole.select(
+        *[F.col(f"_col{i}").alias(c) for i, c in enumerate(own)], F.col("_n").alias("n_words"), F.coalesce("unseen", F.lit(0)).cast("long").alias("n_unseen"),
+        pll.alias("pll"), F.when(F.col("_n") > 0, pll / F.col("_n")).alias("pll_mean"),
+    )

@@ -79,7 +79,7 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudolm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "pll", "pll_mean")
+    return pseudolm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_unseen", "pll", "pll_mean")
 
 
 OP2_SQL = rf"""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lethewise.llm import chat, components, decontam, langid, linerules, pseudolm, secrets, simhash, storage, warc
+from lethewise.llm import chat, components, decontam, langid, linerules, secrets, simhash, storage, warc
 
 EDGES = [(1, "Some plain words."), (1, "Some plain words."), (2, None), (3, ""), (None, "null id"), (5, "x" * 200_000), (6, " \n\t ")]
 SCHEMA = "doc_id long, text string"
@@ -273,36 +273,3 @@ def test_simhash_of_texts(spark):
     groups = {r.doc_id: r.component_id for r in simhash.cluster(few, prints=3).collect() if r.doc_id and r.doc_id > 6}
     near = [(a, b) for a in prints for b in prints if any(((prints[a][c] ^ prints[b][c]) & (1 << 64) - 1).bit_count() <= 4 for c in ("_fp", "_fp1", "_fp2"))]
     assert groups == {i: low for i, low in connected(near).items() if i in groups}
-
-
-# -- scores -----------------------------------------------------------------------------------------------------------
-
-def test_pseudo_likelihood(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    shape, net = pseudolm.train(docs)
-    rng = random.Random(0)
-    text = docs.orderBy(F.desc(F.length("text"))).first().text
-    mixed = text.split()
-    rng.shuffle(mixed)
-    rows = pseudolm.score(spark.createDataFrame([(1, text), (2, " ".join(mixed)), *EDGES[2:4]], SCHEMA).withColumn("pll", F.lit(0)), shape, net).orderBy("doc_id").collect()
-    assert rows[0].n_words == rows[1].n_words
-    assert rows[2].n_words == 0 and rows[2].pll == 0 and rows[2].pll_mean is None
-    assert sum(np.bincount(shape.class_of)) == pseudolm.BUCKETS
-    for c in range(0, pseudolm.CLASSES, 9):
-        assert np.exp(shape.log_share[shape.class_of == c]).sum() == pytest.approx(1)
-    import pyarrow as pa
-
-    words, doc = pseudolm.buckets_of(pa.array(["one two three", "four"]))
-    near = pseudolm.sides(words, doc, pseudolm.BUCKETS)
-    want = 0.0
-    for k, w in enumerate(words.tolist()):  # word by word, from the definition
-        def at(j, k=k):
-            return words[j] if 0 <= j < len(words) and doc[j] == doc[k] else pseudolm.BUCKETS
-
-        h = np.tanh(net.left[at(k - 1)] + 0.5 * net.left[at(k - 2)] + net.right[at(k + 1)] + 0.5 * net.right[at(k + 2)])
-        z = h @ net.linear + net.bias
-        want += float(z[shape.class_of[w]] - np.log(np.exp(z).sum())) + shape.log_share[w]
-    assert (net.log_probability(near, shape.class_of[words]) + shape.log_share[words]).sum() == pytest.approx(want, rel=1e-4)
-    trained = pseudolm.score(docs, shape, net).agg(F.sum("pll")).first()[0]
-    assert trained > pseudolm.score(docs, shape, pseudolm.Network()).agg(F.sum("pll")).first()[0]
-    assert pseudolm.pseudo_likelihood(docs.limit(0)).count() == 0
