@@ -13,9 +13,12 @@ from lethewise.session import ready
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a local folder is used only where the cluster names none."""
+    """A new path under ``spark.checkpoint.dir``. Only in local mode, where all is one machine, a temporary folder does
+    where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lethewise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,18 @@ def beside(docs: DataFrame, keep: list[str], work: Callable[[DataFrame], DataFra
     return work(docs.select(*[F.col(f"`{c}`").alias(inner) for c, inner in names])).select(*[F.col(inner).alias(c) for c, inner in names])
 
 
+def apart(docs: DataFrame, added: list[str], work: Callable[[DataFrame], DataFrame], **roles: str) -> DataFrame:
+    """``work`` of the documents under names that no operator adds: each of ``roles`` (inner name = column of ``docs``)
+    under its inner name, the others as ``_col0`` and on. The result has the columns of ``docs`` that ``work`` kept, under
+    their own names again, and then those that it made; columns of ``docs`` named as one of ``added``, in any case of
+    letters, give way to those."""
+    gone, inner = {a.lower() for a in added}, {c: r for r, c in roles.items()}
+    names = [(c, inner.get(c, f"_col{i}")) for i, c in enumerate(docs.columns) if c in inner or c.lower() not in gone]
+    out = work(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names]))
+    taken = {n for _, n in names}
+    return out.select(*[F.col(n).alias(c) for c, n in names if n in out.columns and c.lower() not in gone], *[c for c in out.columns if c not in taken])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and a lost executor costs
     no more than the step that reads it."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lethewise.llm import chat, components, decontam, langid, linerules, secrets, simhash, storage, warc
+from lethewise.llm import chat, components, decontam, linerules, secrets, simhash, storage, warc
 
 EDGES = [(1, "Some plain words."), (1, "Some plain words."), (2, None), (3, ""), (None, "null id"), (5, "x" * 200_000), (6, " \n\t ")]
 SCHEMA = "doc_id long, text string"
@@ -179,23 +179,6 @@ def test_battery_tells_noise_from_words():
     assert secrets.thresholds([(6, 0, 1000)], 0.001) == {}
 
 
-# -- languages --------------------------------------------------------------------------------------------------------
-
-def test_language_id(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = langid.train(docs, where=~langid.held_out())
-    got = langid.predict(docs.withColumn("lang_pred", F.lit("q")), model).where(langid.held_out()).toPandas()
-    assert (got["lang"] == got["lang_pred"]).mean() > 0.97
-    assert got["lang_rejected"].mean() < 0.02
-    assert got["lang_score"].between(0, 1).all()
-    rows = langid.predict(edges(spark), model).collect()
-    assert len(rows) == len(EDGES)
-    assert all((r.lang_pred == "und" and r.lang_score == 0 and r.lang_rejected) == (r.text is None or not r.text.strip()) for r in rows)
-    with pytest.raises(ValueError, match="labelled"):
-        langid.train(docs.limit(0))
-    assert langid.predict(docs.limit(0), model).count() == 0
-
-
 # -- near-duplicates --------------------------------------------------------------------------------------------------
 
 def connected(pairs):
