@@ -119,7 +119,7 @@ def brute_hits(text, items):
                 if tuple(w[k : k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
                     found.add(i)
-    return len(w), len(hit), sorted(x for x in found if x is not None)
+    return len(w), len(hit), sorted(str(x) for x in found if x is not None)
 
 
 @pytest.mark.parametrize("block", [500_000, 7])
@@ -129,14 +129,19 @@ def test_decontamination(spark, block):
     items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((12, 3, 10, 25, 1, 0))] + [(77, None), (None, "null item words"), (3, "alpha béta")]
     rows = [(i, ", ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for i in range(60)] + [(100 + k, f"x y\n{t} z") for k, (_, t) in enumerate(items)] + EDGES
     docs, bench = spark.createDataFrame(rows, SCHEMA).withColumn("n_hit", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    for name in ("_row", "_text", "row", "_col0", "Item_Ids", "hit"):
+        docs = docs.withColumn(name, F.lit("mine"))
     got = decontam.annotate(docs, bench, block_windows=block).collect()
     assert len(got) == len(rows)
+    assert got[0].asDict().keys() == {"doc_id", "text", "_row", "_text", "row", "_col0", "hit", "n_words", "n_hit", "item_ids", "hit_starts", "hit_ends"}
+    assert all(r._row == r._text == r.row == r._col0 == r.hit == "mine" for r in got)
     for r in got:
         assert (r.n_words, r.n_hit, r.item_ids) == brute_hits(r.text, items)
     kept = decontam.remove_documents(spark.createDataFrame(rows, SCHEMA), bench, block_windows=block)
     assert kept.columns == ["doc_id", "text"]
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in spark.createDataFrame(rows, SCHEMA).collect() if not brute_hits(r.text, items)[1])
-    assert decontam.annotate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontam.annotate(docs, bench.limit(0), block_windows=block).where("n_hit > 0").count() == 0
+    assert decontam.annotate(docs, bench.withColumn("item_id", F.concat(F.lit("item "), "item_id")), block_windows=block).where("array_contains(item_ids, 'item 1')").count() > 0
     assert decontam.annotate(docs.limit(0), bench).count() == 0
 
 
