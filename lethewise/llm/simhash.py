@@ -1,22 +1,21 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within ``radius`` bits share a variant that is within half the radius of both, so each fingerprint emits
-its variants, equal variants meet in a shuffle, and what meets is verified. Over the whole 64 bits and a radius of 4 that
-would be 2081 variants for every distinct fingerprint; here the ball is first taken in each half of the fingerprint:
+Two fingerprints within ``radius`` bits share a variant that is within half the radius of both. Each distinct fingerprint
+emits all variants within half the radius (2081 for a radius of 4), equal variants meet in a shuffle, and what meets is
+verified. Where several fingerprints meet, the smallest one is linked to each other one (any two of them are within the
+radius), so no group's pairs are enumerated; a task passes on, of its links, only those that connect anything new.
 
-1. Of two fingerprints within 4 bits, one 32-bit half differs by 2 bits at most. Each distinct fingerprint emits the
-   variants of each half within 1 bit (66 in all). Fingerprints that meet are compared; each link is emitted at one of
-   its common variants alone.
-2. Where more than ``CROWD`` fingerprints meet in one variant, comparing all pairs would grow with the square of a group.
-   Those fingerprints emit the full ball instead, all variants of all 64 bits within 2 bits (2081). Whatever meets there
-   is within 4 bits for certain, so a star to the smallest one replaces the pairs.
+The variants are shuffled in ``SLICES`` passes: a slice is a few parity bits of the variant, and since parities add up, a
+fingerprint's variants in a slice are those differences whose own parities are its parities plus the slice's. Nothing is
+made and thrown away, and the shuffle files of a slice go before the next begins, so the disk holds one slice at a time.
 
-No link is lost: a pair meets in step 1, and is compared there or goes to step 2 with both sides. Links, and never all
-fingerprints or links at once, then give components (``components``). Exact copies count as one fingerprint throughout.
+No link is lost (a pair within the radius meets in every one of its common variants). Links, and never all fingerprints
+or links at once, then give components (``components``). Exact copies count as one fingerprint throughout.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; fewer than ``width`` words
 are one shingle; repeated rows each get a row; a row with a null id links others but has no say in ``component_id``,
-which is null where no reachable row has an id; an empty table gives no rows.
+which is null where no reachable row has an id; an empty table gives no rows. All columns but the text are kept (those
+named as in ``ADDED``, in any case of letters, are replaced).
 """
 
 from __future__ import annotations
@@ -34,11 +33,12 @@ from . import storage, textbuf
 from .components import components, forest
 from lethewise.operators.joins import lookup
 
-#: Fingerprints that may meet in a half's variant and be compared pair by pair.
-CROWD = 32
-#: Variants in a bucket of the shuffle, on average, and how many a task holds at once.
+#: Passes over the variants (a power of two); variants in a bucket of the shuffle, on average, and how many a task holds.
+SLICES = 8
 BUCKET, HELD = 1 << 19, 1 << 20
+ADDED = ["_fp", "component_id"]
 
+_PARITY = textbuf.mixed(np.arange(1, 17, dtype=np.uint64))
 _LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 
 
@@ -86,6 +86,10 @@ def fingerprint_texts(texts: list[bytes], width: int, seed: int, prints: int = 1
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42, prints: int = 1) -> DataFrame:
     """``docs`` without the text, and with ``_fp`` (and ``_fp1`` ...), the fingerprints as signed longs."""
     names = ["_fp", *(f"_fp{k}" for k in range(1, prints))]
+    return storage.apart(docs, names, lambda rows: _fingerprinted(rows, "text", width, seed, names), text=text)
+
+
+def _fingerprinted(docs: DataFrame, text: str, width: int, seed: int, names: list[str]) -> DataFrame:
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +97,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int
             for some in textbuf.passes(batch, text):
                 raw, off = textbuf.flat(some.column(text))
                 data, at = raw.tobytes(), off.tolist()
-                fp = fingerprint_texts([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], width, seed, prints)
+                fp = fingerprint_texts([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], width, seed, len(names))
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), *(pa.array(x.view(np.int64)) for x in fp)], names=[*rest, *names])
 
     schema = docs.select(*rest).withColumns({n: F.lit(0).cast("long") for n in names}).schema
@@ -147,102 +151,67 @@ def _gathered(batches: Iterator[pa.RecordBatch], dtypes: list, work: Callable) -
     textbuf.give_back()
 
 
-def _out(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
-    """Links u - v, or without v fingerprints that go on to the full ball."""
-    return pa.RecordBatch.from_pydict({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.nulls(len(u), pa.int64()) if v is None else pa.array(v.view(np.int64), pa.int64())})
-
-
-def _half_links(radius: int, crowd: int, masks: np.ndarray) -> Callable:
-    def work(half: int, columns: list[np.ndarray], memory: dict, last: bool):
-        key, code, other = columns
-        order = np.argsort(key, kind="stable")
-        key, code, other = key[order], code[order], other[order]
-        mine = (key ^ masks[code]).astype(np.uint64)
-        fp = mine << np.uint64(32) | other if half == 0 else other.astype(np.uint64) << np.uint64(32) | mine
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(start, len(key)))
-        crowded = memory.setdefault("keys", np.zeros(0, np.uint32))
-        crowded = memory["keys"] = np.union1d(crowded, key[start[size > crowd]])
-        many = np.isin(key, crowded)
-        on = np.unique(fp[many])
-        key, mine, other, fp = key[~many], mine[~many].astype(np.uint32), other[~many], fp[~many]
-        if not last:
-            return _out(on, None), [key, code[~many], other]
-        us, vs = [], []
-        for s in range(1, min(crowd, len(key))):
-            at = np.flatnonzero(key[s:] == key[:-s])
-            if not len(at):
-                break
-            a, b = at, at + s
-            at = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-            a, b = a[at], b[at]
-            # of the variants that a pair has in common, one counts: its lower side, or the lower middle of two bits
-            x = mine[a] ^ mine[b]
-            low = x & (~x + np.uint32(1))
-            two = np.bitwise_count(x) == 2
-            own = np.where(two, np.minimum(mine[a] ^ low, mine[b] ^ low), np.minimum(mine[a], mine[b])) == key[a]
-            if half:  # pairs that are near in the first half as well were linked there
-                own &= np.bitwise_count(other[a] ^ other[b]) > 2
-            us.append(fp[a[own]])
-            vs.append(fp[b[own]])
-        rows = _out(np.concatenate(us), np.concatenate(vs)) if us else _out(on[:0], None)
-        return pa.Table.from_batches([_out(on, None), rows]).combine_chunks().to_batches()[0] if len(on) + rows.num_rows else rows, []
-
-    return work
+def slice_of(x: np.ndarray, slices: int) -> np.ndarray:
+    """A few parities of each number: those of a ^ b are those of a and of b, added without carry."""
+    out = np.zeros(len(x), np.int64)
+    for k in range(slices.bit_length() - 1):
+        out |= (np.bitwise_count(x & _PARITY[k]).astype(np.int64) & 1) << k
+    return out
 
 
-def _ball_links(masks: np.ndarray) -> Callable:
+def _ball_links(masks: np.ndarray, radius: int) -> Callable:
     def work(_: int, columns: list[np.ndarray], memory: dict, last: bool):
         key, code = columns
-        order = np.argsort(key, kind="stable")
-        key, code = key[order], code[order]
-        fp = key ^ masks[code]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(start, len(key)))
-        low = np.minimum.reduceat(fp, start)
-        star = np.repeat(low, size)
-        linked = fp != star
-        u, v = forest(fp[linked], star[linked]) if linked.any() else (fp[:0], fp[:0])
-        keep = np.zeros(len(fp), bool)
-        if not last:
-            keep[np.flatnonzero(fp == star)] = True  # the smallest of each variant stands for the others
-        return _out(u, v), [key[keep], code[keep]]
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if last:
+            key, order = key[met], order[met]
+        fp = key ^ masks[code[order]]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(fp, start) if len(key) else fp
+        star = np.repeat(low, np.diff(np.append(start, len(key))))
+        near = np.flatnonzero((fp != star) & (np.bitwise_count(fp ^ star) <= radius))
+        u, v = forest(fp[near], star[near]) if len(near) else (fp[:0], fp[:0])
+        rows = pa.RecordBatch.from_pydict({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
+        if last:
+            return rows, []
+        keep = fp == star  # the smallest of each variant stands for the others
+        return rows, [key[keep], code[order[keep]]]
 
     return work
 
 
-def links(fps: DataFrame, radius: int = 4, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = SLICES) -> DataFrame:
     """Distinct fingerprints (``_fp``) to links (u, v) between them, enough to connect whatever is within ``radius``."""
-    if radius != 4:
-        raise ValueError("the halves of this method are made for a radius of 4")
-    half_masks, ball_masks = ball(32, 1, np.uint32), ball(64, 2, np.uint64)
+    masks = ball(64, radius // 2, np.uint64)
+    of_mask = slice_of(masks, slices)
+    mine = [np.flatnonzero(of_mask == k).astype(np.uint16) for k in range(slices)]
+    chunk = max(1, HELD * slices // len(masks))
+    buckets = max(64, fps.count() * len(masks) // slices // bucket)
 
-    def deal(masks, kinds, buckets, chunk):
+    def deal(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 fp = np.asarray(batch.column("_fp")).view(np.uint64)
                 for i in range(0, len(fp), chunk):
                     x = fp[i : i + chunk]
-                    for kind in kinds:
-                        mine = x if len(kinds) == 1 else (x >> np.uint64(32) if kind == 0 else x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                        keys = (mine[:, None] ^ masks).ravel()
-                        code = np.tile(np.arange(len(masks), dtype=np.uint8 if len(masks) < 256 else np.uint16), len(x))
-                        other = [] if len(kinds) == 1 else [np.repeat((x & np.uint64(0xFFFFFFFF) if kind == 0 else x >> np.uint64(32)).astype(np.uint32), len(masks))]
-                        yield from _dealt(kind, keys, [code, *other], buckets)
+                    own = slice_of(x, slices)
+                    some = [(x[own == k], mine[number ^ k]) for k in range(slices)]
+                    keys = np.concatenate([(y[:, None] ^ masks[m]).ravel() for y, m in some])
+                    if len(keys):
+                        yield from _dealt(0, keys, [np.concatenate([np.tile(m, len(y)) for y, m in some])], buckets)
                 textbuf.give_back()
 
         return run
 
-    def meet(rows: DataFrame, masks, kinds, dtypes, work, n: int, chunk: int) -> DataFrame:
-        buckets = max(64, n * len(masks) * len(kinds) // bucket)
-        dealt = rows.mapInArrow(deal(masks, kinds, buckets, chunk), "bucket long, kind int, n long, body binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
-        return dealt.mapInArrow(lambda batches: _gathered(batches, dtypes, work), "u long, v long")
-
-    near = storage.written(meet(fps.select("_fp"), half_masks, (0, 1), [np.uint32, np.uint8, np.uint32], _half_links(radius, crowd, half_masks), fps.count(), 5_000), "halves")
-    crowds = storage.written(near.where("v is null").select(F.col("u").alias("_fp")).distinct(), "crowds")
-    full = meet(crowds, ball_masks, (0,), [np.uint64, np.uint16], _ball_links(ball_masks), crowds.count(), 500)
-    # written, so that no task runs two Python workers in a row
-    return near.where("v is not null").unionByName(storage.written(full, "full-balls"))
+    out = None
+    for number in range(slices):
+        dealt = fps.select("_fp").mapInArrow(deal(number), "bucket long, kind int, n long, body binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
+        found = storage.written(dealt.mapInArrow(lambda batches: _gathered(batches, [np.uint64, np.uint16], _ball_links(masks, radius)), "u long, v long"), "ball")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
@@ -251,7 +220,7 @@ def print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
     both = storage.written(marked.select("_fp", name).distinct(), "prints")
     low = storage.written(both.groupBy(name).agg(F.min("_fp").alias("_rep"), F.count("*").alias("_k")), "print-groups")
     own = lookup(both, low, name, "_k", both.count()).where("_fp <> _rep").select(F.col("_fp").alias("u"), F.col("_rep").alias("v"))
-    near = links(low.select(F.col(name).alias("_fp")), radius)
+    near = links(storage.written(low.select(F.col(name).alias("_fp")), "distinct"), radius)
     side = [low.select(F.col(name).alias(c), F.col("_rep").alias(f"_{c}")) for c in ("u", "v")]
     return own.unionByName(near.join(side[0], "u").join(side[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
 
@@ -261,11 +230,15 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     With several ``prints`` two texts are linked if any of their independent fingerprints are within the radius: of texts
     that are 0.9 alike, one print in two to five is, so a few of them find most."""
-    marked = storage.written(fingerprints(docs, text, width, seed, prints), "fingerprints")
-    found = links(storage.written(marked.select("_fp").distinct(), "distinct"), radius)
-    for k in range(1, prints):
-        found = found.unionByName(storage.written(print_links(marked, f"_fp{k}", radius), "print-links"))
-    return named(marked.drop(*[f"_fp{k}" for k in range(1, prints)]), found, doc_id)
+
+    def work(rows: DataFrame) -> DataFrame:
+        marked = storage.written(fingerprints(rows, "text", width, seed, prints), "fingerprints")
+        found = links(storage.written(marked.select("_fp").distinct(), "distinct"), radius)
+        for k in range(1, prints):
+            found = found.unionByName(storage.written(print_links(marked, f"_fp{k}", radius), "print-links"))
+        return named(marked.drop(*[f"_fp{k}" for k in range(1, prints)]), found, "id")
+
+    return storage.apart(docs, ADDED, work, id=doc_id, text=text)
 
 
 def named(marked: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lethewise.session import ready
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``. Only in local mode, where all is one machine, a temporary folder does
     where none is set."""
@@ -51,7 +54,12 @@ def apart(docs: DataFrame, added: list[str], work: Callable[[DataFrame], DataFra
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and a lost executor costs
-    no more than the step that reads it."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    no more than the step that reads it. Shuffle files of the writing are given up when it has ended."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
