@@ -186,17 +186,17 @@ def sample(docs: DataFrame, text: str = "text", label: str = "lang", where: Colu
     if where is not None:
         rows = rows.where(where)
     rows = rows.select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(text).alias("hash"))
-    # copies of a text are one; a language's smallest hashes are its sample, so none is left out and none exceeds the limit
-    place = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
-    least = storage.written(rows.select("label", "hash").distinct().withColumn("place", place).where(F.col("place") <= per_language), "sample")
-    languages = least.select("label").distinct().count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"{languages} labels; {MOST_LANGUAGES} at most can be learned")
-    limit = min(per_language, SAMPLE_IN_ALL // max(1, languages))
-    taken = rows.join(F.broadcast(least.where(F.col("place") <= limit).select("label", "hash")), ["label", "hash"])
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more labels than {MOST_LANGUAGES}, which is the most that can be learned")
+    limit = min(per_language, SAMPLE_IN_ALL // max(1, len(sizes)))
+    # a language's smallest hashes are its sample: some twice as many as the limit are below this (all, if there are few)
+    most = [(r["label"], (1 << 63) - 1 if r["n"] <= 4 * limit else int((1 << 63) * 2 * limit / r["n"])) for r in sizes]
+    below = docs.sparkSession.createDataFrame(most, T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("most", T.LongType())]))
+    taken = rows.join(F.broadcast(below), "label").where(F.shiftrightunsigned("hash", 1) <= F.col("most")).select("label", "hash", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # no more than the sample
+        seen = set()  # a few times the sample; copies of a text are one
         for batch in batches:
             for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("hash").to_pylist(), strict=True)):
                 if key not in seen:
@@ -206,7 +206,9 @@ def sample(docs: DataFrame, text: str = "text", label: str = "lang", where: Colu
         textbuf.give_back()
 
     schema = T.StructType([taken.schema["label"], taken.schema["hash"], T.StructField("idx", T.BinaryType()), T.StructField("count", T.BinaryType())])
-    return taken.mapInArrow(bags, schema).groupBy("label", "hash").agg(F.min(F.struct("idx", "count")).alias("b")).select("label", "hash", "b.*")
+    each = taken.mapInArrow(bags, schema).groupBy("label", "hash").agg(F.min(F.struct("idx", "count")).alias("b"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.shiftrightunsigned("hash", 1), "hash"))
+    return each.withColumn("place", place).where(F.col("place") <= limit).select("label", "hash", "b.*")
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", where: Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
