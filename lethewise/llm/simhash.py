@@ -208,7 +208,7 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = S
 
     out = None
     for number in range(slices):
-        dealt = fps.select("_fp").mapInArrow(deal(number), "bucket long, kind int, n long, body binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
+        dealt = fps.select("_fp").mapInArrow(deal(number), "bucket long, kind int, n long, body binary").repartition(max(16, buckets // 4), "bucket").sortWithinPartitions("bucket", "kind")
         found = storage.written(dealt.mapInArrow(lambda batches: _gathered(batches, [np.uint64, np.uint16], _ball_links(masks, radius)), "u long, v long"), "ball")
         out = found if out is None else out.unionByName(found)
     return out
