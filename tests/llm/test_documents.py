@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lethewise.llm import chat, components, decontam, linerules, secrets, simhash, storage, warc
+from lethewise.llm import chat, components, decontam, linerules, simhash, storage, warc
 
 EDGES = [(1, "Some plain words."), (1, "Some plain words."), (2, None), (3, ""), (None, "null id"), (5, "x" * 200_000), (6, " \n\t ")]
 SCHEMA = "doc_id long, text string"
@@ -151,39 +151,6 @@ def test_spans_are_cut(spark):
     assert [r.text for r in decontam.remove_spans(docs, bench).orderBy("doc_id").collect()] == ["Before. ! After.", "Nothing here."]
 
 
-# -- secrets ----------------------------------------------------------------------------------------------------------
-
-def test_secret_patterns_and_battery(spark):
-    rng = random.Random(4)
-    noise = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=44))
-    rows = [(1, f"é key {noise} end"), (2, "password = hunter2secret AKIA" + "A1" * 9), (3, "deadbeef" * 4), (4, "Api-Key: x apiKEY:'abcdef'"), (5, "internationalizationandlocalization abcdefghijklmnopqrstuvwxyz"), *[(x[0], x[1]) for x in EDGES]]
-    rows += [(100 + i, " ".join("".join(rng.choices(["the", "and", "ing", "tion", "er", "re", "in"], k=9)) for _ in range(3))) for i in range(40)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    got = {}
-    for r in secrets.scan(docs.withColumn("_base", F.lit(1))).collect():
-        got.setdefault(r.doc_id, []).append([(s.kind, s.start, s.end) for s in r.secret_spans])
-    assert got[1][0] == [("random", 6, 50)]
-    assert got[2][0] == [("assign", 0, 24), ("access", 25, 47)]
-    assert got[3][0] == [("hex", 0, 32)]
-    assert got[4][0] == [("assign", 11, 25)]
-    assert not any(got[5][0]) and not any(x for i in got if i is None or i >= 100 for x in got[i])
-    assert secrets.redact(docs.where("doc_id = 1 and text like '%key%'")).first().text in ("é key [SECRET] end", f"é key {noise} end")
-    assert "[SECRET]" in secrets.redact(docs).where("doc_id = 2 and text is not null").first().text
-    assert secrets.scan(docs.limit(0)).count() == 0
-
-
-def test_battery_tells_noise_from_words():
-    rng = random.Random(9)
-    alphabet = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    p = [secrets.battery(bytes(rng.choices(alphabet, k=32)))[1] for _ in range(200)]
-    assert np.quantile(p, 0.95) < 1e-6
-    assert secrets.battery(b"abcdefghijklmnopqrstuvwxyz0123456789")[1] == 1.0
-    for words in (b"getUserAccountInformationByIdentifier", b"counterrevolutionariesandothers", b"11111111111111111111111", b"2024-01-01-2024-02-02-2024"):
-        assert secrets.battery(words)[1] > 1e-4
-    assert secrets.thresholds([(6, 1000, 3), (6, 0, 1000)], 0.001) == {6: 1000}
-    assert secrets.thresholds([(6, 0, 1000)], 0.001) == {}
-
-
 # -- near-duplicates --------------------------------------------------------------------------------------------------
 
 def connected(pairs):
