@@ -124,16 +124,16 @@ SELECT k.conv_id, CAST(len(k.l) AS INTEGER) AS n_turns, CAST(n_equal AS BIGINT)
 FROM k ANTI JOIN p ON k.l = p.l
 """
 
-OP4_SQL = """
+OP4_SQL = f"""
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to,
-  CAST(CASE WHEN (payload_bytes >= 1000 AND page_id < last) OR block <= 32768 THEN 1 ELSE (block + 32767) // 32768 END AS INTEGER) AS n_segments
-FROM (SELECT *, 87 + payload_bytes + 5 + 8 * (payload_bytes // 8192)
-  + CASE WHEN payload_bytes % 8192 > 0 THEN length(format('{:x}', payload_bytes % 8192)) + 4 ELSE 0 END AS block FROM f)
+  CAST(CASE WHEN (payload_bytes >= 1000 AND page_id < last) OR block <= {warc.SEGMENT_BYTES} THEN 1 ELSE (block + {warc.SEGMENT_BYTES - 1}) // {warc.SEGMENT_BYTES} END AS INTEGER) AS n_segments
+FROM (SELECT *, 87 + payload_bytes + 5 + {len(f"{warc.CHUNK_BYTES:x}") + 4} * (payload_bytes // {warc.CHUNK_BYTES})
+  + CASE WHEN payload_bytes % {warc.CHUNK_BYTES} > 0 THEN length(format('{{:x}}', payload_bytes % {warc.CHUNK_BYTES})) + 4 ELSE 0 END AS block FROM f)
 """
 
 OP5_SQL = r"""

@@ -7,12 +7,13 @@ records that name its id, and the last of them the total length. The archives ar
 each record is a row that Spark's text writer writes as it is (the line end that the writer adds is the record's last
 byte), so any store that Spark can write holds them.
 
-Reading. Files come through Spark's ``binaryFile`` reader. Whole records are decoded where they are; of segmented ones
-alone, the segments are grouped by their origin's id, put in order of segment number, checked for gaps and against the
-total length, and joined. The HTTP head is split off, the chunked framing decoded, and the payload's digest verified.
+Reading. Files come through Spark's ``binaryFile`` reader and are unpacked once. Records meet their continuations, which
+may stand in any file, in a shuffle by the origin's id, sorted by segment number; they are checked for gaps and against
+the total length, and joined, one record at a time. The HTTP head is split off, the chunked framing decoded, and the
+payload's digest verified.
 
 Defined results: null html is an empty payload; rows with the same id and payload are alike (all responses, or all
-revisits); a null id is written as an empty target, is never referred to, and is always a response; a missing, repeated
+revisits), each with a record of its own; a null id is written as an empty target, is never referred to, and is always a response; a missing, repeated
 or surplus segment, a wrong length or a wrong digest raises an error that names the record; an empty table gives
 archives without records.
 """
@@ -22,10 +23,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +36,11 @@ from . import storage, textbuf
 from lethewise.operators.joins import lookup
 
 REVISIT_BYTES = 1000
-SEGMENT_BYTES = 32 << 10
+SEGMENT_BYTES = 1 << 10
 #: Bytes of a chunk of the HTTP body.
-CHUNK_BYTES = 8 << 10
+CHUNK_BYTES = 2 << 10
 #: Records in a file: with SEGMENT_BYTES, it bounds what one row of the reader holds.
-FILE_RECORDS = 512
+FILE_RECORDS = 4096
 
 _DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,28 +82,33 @@ def http_payload(block: bytes) -> bytes:
     return body[: int(fields[b"content-length"])] if b"content-length" in fields else body
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a file: their headers, with lower-case names, and their blocks."""
+def headers(head: bytes) -> dict[str, str]:
+    """The fields of a record's head, with lower-case names."""
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+
+
+def parse(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+    """Records of a file: their heads, as they are and as fields, and their blocks."""
     at = 0
     while at < len(data):
         if not data.startswith(b"WARC/1.", at):
             raise ValueError(f"no WARC record at byte {at}")
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        raw = data[at:end]
+        head = headers(raw)
         size = int(head["content-length"])
         at = end + 4 + size + 4
         if data[at - 4 : at] != b"\r\n\r\n":
             raise ValueError(f"record {head.get('warc-record-id')} doesn't end where its length says")
-        yield head, data[end + 4 : at - 4]
+        yield raw, head, data[end + 4 : at - 4]
 
 
 def _sha1(hexes: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hexes)).decode()
 
 
-def _page_records(page_id, url, payload: bytes, digest: str, refers_to, segment_bytes: int) -> Iterator[bytes]:
-    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{url}')}>"
+def _page_records(place: str, page_id, url, payload: bytes, digest: str, refers_to, segment_bytes: int) -> Iterator[bytes]:
+    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}:{page_id}:{digest}:{url}')}>"
     base = [
         ("WARC-Record-ID", rid), ("WARC-Date", _DATE), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", _sha1(digest)),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
@@ -138,17 +146,20 @@ def revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", lea
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = SEGMENT_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Write one record for each row of ``pages``, with its continuations, as WARC files under ``path``."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    seen = revisits(pages, page_id, html).withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
+    # a written table, whose size is known: Spark broadcasts it where it is small enough, so that pages stay where they are
+    seen = storage.written(revisits(pages, page_id, html).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to"), "revisits")
     rows = rows.withColumn("digest", F.sha1("payload"))
     rows = rows.join(seen, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a record's id holds its place in the writing task, so that rows which are alike are records of their own
+        task, count = TaskContext.get().partitionId(), itertools.count()
         for batch in batches:
             for some in textbuf.passes(batch, "payload"):
-                out = [r[:-1] for x in some.to_pylist() for r in _page_records(x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"], segment_bytes)]
+                out = [r[:-1] for x in some.to_pylist() for r in _page_records(f"{path}:{task}:{next(count)}", x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"], segment_bytes)]
                 yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
-    rows.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    rows.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
 
 
 PAYLOADS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, n_segments int, payload binary"
@@ -183,42 +194,43 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Response and revisit records of the archives under ``path``: columns PAYLOADS."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
-    def split(segmented: bool):
-        schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.string()), ("head", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for data in batch.column("content"):
-                    out, data = [], data.as_py()
-                    for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                        number = int(head.get("warc-segment-number", 0))
-                        if (number > 0) == segmented:
-                            origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
-                            out.append({"origin": origin, "number": number, "total": head.get("warc-segment-total-length"), "head": list(head.items()) if number < 2 else None, "block": block})
-                    yield pa.RecordBatch.from_pylist(out, schema)
-
-        return run
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.string()), ("head", pa.binary()), ("block", pa.binary())])
+        for batch in batches:
+            for data in batch.column("content"):
+                out, data = [], data.as_py()
+                for raw, head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    number = int(head.get("warc-segment-number", 0))
+                    origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
+                    out.append((origin, number, head.get("warc-segment-total-length"), raw if number < 2 else None, block))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("n_segments", pa.int32()), ("payload", pa.binary())])
+        now, parts, first, out, size = None, [], None, [], 0
 
-    # whole records and segments are taken from the files in a pass each: cheaper than a table of all blocks between
-    records, segments = (files.mapInArrow(split(x), "origin string, number int, total string, head map<string,string>, block binary") for x in (False, True))
+        def done():
+            if first is None:
+                raise ValueError(f"record {now}: its first segment is missing")
+            out.append(_decoded(headers(first), joined(now, parts) if parts else block, max(1, len(parts))))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("n_segments", pa.int32()), ("payload", pa.binary())])
         for batch in batches:
-            for some in textbuf.passes(batch, "block") if "block" in batch.schema.names else [batch]:
-                out = []
-                for r in some.to_pylist():
-                    if "block" in r:
-                        out.append(_decoded(dict(r["head"]), r["block"], 1))
-                    else:
-                        parts = [(s["number"], s["block"], s["total"]) for s in r["segments"]]
-                        head = next((s["head"] for s in r["segments"] if s["head"]), None)
-                        if head is None:
-                            raise ValueError(f"record {r['origin']}: its first segment is missing")
-                        out.append(_decoded(dict(head), joined(r["origin"], parts), len(parts)))
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-    single = records.select("head", "block").mapInArrow(whole, PAYLOADS)
-    # a group is one record: its size is that of a payload, which a row holds in any case
-    groups = segments.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "head", "block")).alias("segments"))
-    return single.unionByName(groups.mapInArrow(whole, PAYLOADS))
+            for origin, number, total, head, part in zip(*(batch.column(c).to_pylist() for c in ("origin", "number", "total", "head", "block")), strict=True):
+                if now is not None and origin != now:
+                    done()
+                    size += len(part)
+                    now, parts, first = None, [], None
+                if size > textbuf.PASS_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, size = [], 0
+                now, first = origin, head if number < 2 else first
+                if number:
+                    parts.append((number, part, total))
+                else:
+                    block = part
+        if now is not None:
+            done()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return files.mapInArrow(split, "origin string, number int, total string, head binary, block binary").repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(assemble, PAYLOADS)

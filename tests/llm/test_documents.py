@@ -1,5 +1,6 @@
 """Rules, chats, archives, decontamination, secrets, languages, near-duplicates and scores on small tables."""
 
+import os
 import random
 import re
 
@@ -69,7 +70,7 @@ def test_snapshots_collapse(spark):
 
 def test_archives_round_trip(spark):
     big, page = "é<p>" * 30_000, "x" * 1000
-    rows = [(1, "u1", page), (2, "u2", page), (3, "u3\r\nX: y", page), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", big), (9, "u", big), (None, "u", page), (2, "u2", page), (10, "u", "WARC/1.1\r\n\r\n\r\n")]
+    rows = [(1, "u1", page), (2, "u2", page), (3, "u3\r\nX: y", page), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", big), (9, "u", big), (None, "u", page), (2, "u2", page), (10, "u", "WARC/1.1\r\n\r\n\r\n"), (11, "v", big + "!"), (11, "v", big + "!")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("q"))
     path = storage.shared_dir(spark, "warc")
     warc.write(pages, path, segment_bytes=5000, file_records=7)
@@ -85,7 +86,7 @@ def test_archives_round_trip(spark):
             assert r.record_type == ("revisit" if i in (1, 2, 8) else "response")
             assert r.refers_to == {1: 3, 2: 3, 8: 9}.get(i)
             assert r.record_type == "revisit" or bytes(r.payload) == want[i]
-    assert by_id[9][0].n_segments > 20
+    assert by_id[9][0].n_segments > 20 and [r.n_segments > 20 for r in by_id[11]] == [True, True]
     empty = storage.shared_dir(spark, "warc")
     warc.write(pages.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
@@ -103,6 +104,21 @@ def test_broken_archives():
         list(warc.parse(b"nonsense"))
 
 
+def test_a_missing_segment_is_told(spark):
+    pages = spark.createDataFrame([(1, "u", "y" * 20_000), (2, "u", "z" * 20_000)], "page_id long, url string, html string")
+    path, lacking = storage.shared_dir(spark, "warc"), storage.shared_dir(spark, "warc")
+    warc.write(pages, path, file_records=1)
+    files = spark.read.format("binaryFile").load(path).orderBy("path").collect()
+    assert len(files) > 8
+    assert sorted(r.payload_bytes for r in warc.read(spark, path).collect()) == [20_000, 20_000]
+    os.makedirs(lacking.removeprefix("file://"))
+    for k, f in enumerate(files[:-2]):
+        with open(f"{lacking.removeprefix('file://')}/part-{k}.gz", "wb") as out:
+            out.write(f.content)
+    with pytest.raises(Exception, match="record <urn"):
+        warc.read(spark, lacking).collect()
+
+
 # -- decontamination --------------------------------------------------------------------------------------------------
 
 def brute_hits(text, items):
