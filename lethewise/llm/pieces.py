@@ -5,6 +5,10 @@ is escaped as the file's normaliser says (identity; a space is one mark, and one
 words where a mark follows something else; no piece of the vocabulary reaches over such a cut (checked on loading), so
 words are segmented one by one, and each distinct word once.
 
+Words beyond ``LONG_WORD`` bytes are first cut where no piece reaches over, which is exact as well. What is still longer is
+advanced in windows of ``WINDOW`` bytes, all windows together: from every place where a path may enter a window, the best
+scores of all places in it; running through the windows then joins them.
+
 New words are segmented in batches. For each piece length, hashes of all substrings of that length, from one running sum
 over the whole batch, are probed in a coarse bitmap and then among the sorted hashes of that length's pieces, and matches
 are verified byte by byte. Words of equal length then advance together: for each end, the best predecessor over all piece
@@ -12,7 +16,12 @@ lengths is a maximum over vectors, whose arg is the back-pointer. Of equal score
 without a piece of its own costs ``UNKNOWN_PENALTY`` below the lowest score and becomes its bytes' pieces.
 
 Defined results: a null text gives null ids and 0 tokens; an empty text gives no ids; a text that holds the mark itself
-decodes with spaces instead; repeated rows each get a row; an empty table gives no rows. Other columns are kept.
+decodes with spaces instead; repeated rows each get a row; an empty table gives no rows. Other columns are kept (those named as a new one, in any case
+of letters, are replaced).
+
+The ids are those of the highest total score. Where the file was made by merging pairs (its type is BPE, its scores are
+the merges' ranks), the library's own encoder applies the merges instead, and its ids differ; where the file's type is
+unigram, it maximises the same sum.
 """
 
 from __future__ import annotations
@@ -27,13 +36,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import textbuf
+from . import storage, textbuf
 from .memo import PieceMemo
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-#: Bytes of new words that are segmented together; words beyond LONG_WORD bytes go one by one.
+#: Bytes of new words that are segmented together; words beyond LONG_WORD bytes are cut, or advanced in windows.
 BATCH_BYTES, LONG_WORD = 1 << 18, 512
+#: Bytes of a window, and windows advanced together.
+WINDOW, WINDOWS = 128, 256
 #: Words whose ids a worker remembers, between tasks too.
 KNOWN_WORDS = 250_000
 
@@ -139,45 +150,88 @@ class Encoder:
                     back[end][up] = size
         return back.T
 
-    def _long(self, raw: np.ndarray) -> list[int]:
-        """Edge lengths of one long word, by blocks of bytes; the state is one score and one length per byte."""
-        n, reach = len(raw), max(*self.vocabulary.lengths, 4)
-        best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.uint8)
-        best[0] = 0
-        for a in range(0, n, BATCH_BYTES):
-            b = min(n, a + BATCH_BYTES)
-            part = raw[a : min(n, b + reach)]
-            edges = self._edges(part, len(part) - np.arange(len(part)))
-            sizes, tables = sorted(edges, reverse=True), {s: e.tolist() for s, e in edges.items()}
-            state, last = best[a : min(n, b + reach) + 1].tolist(), back[a : min(n, b + reach) + 1].tolist()
-            for i in range(b - a):  # every edge that starts here; longer edges into an end come from earlier starts
-                for size in sizes:
-                    if i + size < len(state):
-                        x = state[i] + tables[size][i]
-                        if x > state[i + size]:
-                            state[i + size], last[i + size] = x, size
-            best[a : a + len(state)], back[a : a + len(last)] = state, last
-        out, end = [], n
-        while end:
-            out.append(int(back[end]))
-            end -= out[-1]
-        return out[::-1]
-
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, word: bytes) -> list[bytes]:
+        """The word's parts between places that no piece (or character) reaches over."""
+        raw, reach = np.frombuffer(word, np.uint8), max(*self.vocabulary.lengths, 4)
+        ends = np.arange(1, len(raw) + 1)
+        for a in range(0, len(raw), BATCH_BYTES):
+            part = raw[a : a + BATCH_BYTES + reach]
+            for size, score in self._edges(part, len(part) - np.arange(len(part))).items():
+                at = np.flatnonzero(score[:BATCH_BYTES] > -np.inf) + a
+                ends[at] = np.maximum(ends[at], at + size)
+        cuts = np.flatnonzero(np.maximum.accumulate(ends) == np.arange(1, len(raw) + 1)) + 1
+        return [word[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def _windowed(self, raw: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Edge lengths of long words, which stand end to end in ``raw``."""
+        reach = max(*self.vocabulary.lengths, 4)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        windows = -(-sizes // WINDOW)
+        at = np.repeat(starts, windows) + WINDOW * (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
+        room = np.repeat(ends, windows) - at
+        back = np.zeros(len(raw) + 1, np.uint8)  # length of the last edge into each place
+        first_state, state, last = np.full(reach, -np.inf), None, None
+        first_state[0] = 0
+        for b0 in range(0, len(at), WINDOWS):
+            a, r = at[b0 : b0 + WINDOWS], room[b0 : b0 + WINDOWS]
+            lo, hi = int(a[0]), min(len(raw), int(a[-1]) + WINDOW + reach)
+            word_end = ends[np.searchsorted(ends, np.arange(lo, hi), side="right")]
+            places = np.minimum(a[:, None] - lo + np.arange(WINDOW), hi - lo - 1)
+            outside = np.arange(WINDOW) >= r[:, None]
+            edges = {}
+            for size, score in self._edges(raw[lo:hi], np.minimum(word_end, hi) - np.arange(lo, hi)).items():
+                edges[size] = score[places]
+                edges[size][outside] = -np.inf
+            best = np.full((WINDOW + reach, len(a), reach), -np.inf)  # [place, window, entry]
+            into = np.zeros(best.shape, np.uint8)
+            best[np.arange(reach), :, np.arange(reach)] = 0
+            for end in range(1, WINDOW + reach):
+                for size in sorted(edges, reverse=True):
+                    if 0 <= end - size < WINDOW:
+                        x = best[end - size] + edges[size][:, end - size, None]
+                        up = x > best[end]
+                        best[end][up] = x[up]
+                        into[end][up] = size
+            for k in range(len(a)):
+                if b0 + k == 0 or at[b0 + k] != at[b0 + k - 1] + WINDOW or room[b0 + k - 1] <= WINDOW:
+                    state, last = first_state, np.zeros(reach, np.uint8)
+                score, edge = best[:, k] + state, into[:, k]
+                edge[np.arange(reach), np.arange(reach)] = last
+                top = score.max(1)
+                edge = np.where((score == top[:, None]) & (top > -np.inf)[:, None], edge, 0).max(1)
+                n = min(WINDOW, int(r[k]) + 1)
+                back[a[k] + 1 : a[k] + n] = edge[1:n]
+                if edge[0]:
+                    back[a[k]] = edge[0]
+                if r[k] <= WINDOW:
+                    back[a[k] + r[k]] = edge[r[k]]
+                state, last = top[WINDOW:], edge[WINDOW:]
+        out = []
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            steps, path = back[s : e + 1].tolist(), []
+            while e > s:
+                path.append(steps[e - s])
+                e -= path[-1]
+            out.append(np.array(path[::-1], np.int64))
+        return out
+
+    def _encode_words(self, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._cut(w) if len(w) > LONG_WORD else [w] for w in whole]
+        words = [w for p in parts for w in p]
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        out: list[tuple[np.ndarray, np.ndarray]] = [None] * len(words)  # edge lengths of each word
-        batch, size = [], 0
-        for i in order:
-            if len(words[i]) > LONG_WORD:
-                out[i] = np.array(self._long(np.frombuffer(words[i], np.uint8)), np.int64)
-                continue
-            batch.append(i)
-            size += len(words[i])
-            if size >= BATCH_BYTES:
-                self._batch(words, batch, out)
-                batch, size = [], 0
-        if batch:
-            self._batch(words, batch, out)
+        out: list[np.ndarray] = [None] * len(words)  # edge lengths of each word
+        short = [i for i in order if len(words[i]) <= LONG_WORD]
+        for some, work in ((short, self._batch), (order[len(short) :], self._long)):
+            batch, size = [], 0
+            for i in some:
+                batch.append(i)
+                size += len(words[i])
+                if size >= BATCH_BYTES:
+                    work(words, batch, out)
+                    batch, size = [], 0
+            if batch:
+                work(words, batch, out)
         raw = np.frombuffer(b"".join(words), np.uint8)
         length = np.concatenate(out) if out else np.zeros(0, np.int64)
         at = np.cumsum(length) - length
@@ -195,10 +249,14 @@ class Encoder:
         lost = np.flatnonzero(~known)
         if len(lost):
             flat[textbuf.ragged((ends - n_ids)[lost], n_ids[lost])] = self.vocabulary.byte_id[raw[textbuf.ragged(at[lost], length[lost])]]
-        n_edges = np.fromiter(map(len, out), np.int64, len(out))
-        upto = np.concatenate([[0], ends])[np.cumsum(n_edges)]
+        upto = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))]
+        upto = upto[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) - 1]  # of the words as they came
         return flat, np.diff(upto, prepend=0)
 
+    def _long(self, words: list[bytes], batch: list[int], out: list) -> None:
+        for i, edges in zip(batch, self._windowed(np.frombuffer(b"".join(words[i] for i in batch), np.uint8), np.array([len(words[i]) for i in batch])), strict=True):
+            out[i] = edges
+
     def _batch(self, words: list[bytes], batch: list[int], out: list) -> None:
         sizes = np.fromiter((len(words[i]) for i in batch), np.int64, len(batch))  # ascending
         raw = np.frombuffer(b"".join(words[i] for i in batch), np.uint8)
@@ -267,10 +325,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = False
 
     With ``verify`` the ids are decoded again, and ``round_trip`` tells whether that gives the text (the mark itself
     counted as a space); ``keep_text`` false leaves the text out of the result."""
-    made = ("piece_ids", "n_pieces", "ids_crc32", "round_trip")
-    cols = [c for c in docs.columns if c not in made]
-    docs = docs.select(*cols)
-    own = [c for c in cols if keep_text or c != text]
+    made = ["piece_ids", "n_pieces", "ids_crc32", *["round_trip"] * verify]
+    return storage.apart(docs, made, lambda rows: _encoded(rows, model, "text", verify, keep_text), text=text)
+
+
+def _encoded(docs: DataFrame, model: str, text: str, verify: bool, keep_text: bool) -> DataFrame:
+    own = [c for c in docs.columns if keep_text or c != text]
     checked = [T.StructField("round_trip", T.BooleanType())] if verify else []
     schema = T.StructType([*docs.select(*own).schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), *checked])
 
@@ -293,21 +353,23 @@ def encode(docs: DataFrame, model: str, text: str = "text", verify: bool = False
 
 
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids; null ids give a null text."""
-    own = [c for c in rows.columns if c != to]
-    rows = rows.select(*own)
-    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
-                column = some.column(ids)
-                size = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
-                out = encoder.decode(np.asarray(column.flatten()).astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
-                if column.null_count:
-                    out = pa.array([None if null else x for x, null in zip(out.to_pylist(), column.is_null().to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), out.cast(pa.string())], names=[*own, to])
-
-    return rows.mapInArrow(run, schema)
+    """``rows`` with the text of their ids; null ids give a null text, and none an empty one."""
+
+    def work(inner: DataFrame) -> DataFrame:
+        schema = T.StructType([*inner.schema.fields, T.StructField(to, T.StringType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = _encoder(model)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1000):
+                    some = batch.slice(a, 1000)
+                    column = some.column("ids")
+                    size = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+                    out = encoder.decode(np.asarray(column.flatten()).astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
+                    if column.null_count:
+                        out = pa.array([None if null else x for x, null in zip(out.to_pylist(), column.is_null().to_pylist(), strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*some.columns, out.cast(pa.string())], names=schema.names)
+
+        return inner.mapInArrow(run, schema)
+
+    return storage.apart(rows, [to], work, ids=ids)

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lethewise.llm import pieces, storage, wavelet
 
@@ -117,9 +118,98 @@ def test_viterbi_is_best_and_round_trips():
         some = [*texts(500, seed), "", "x" * 3000, "ab" * 700 + "é"]
         ids, upto = e.encode(pa.array(some))
         assert e.decode(ids, upto).to_pylist() == [s.replace("▁", " ") for s in some]
-    long, batch = e._long(np.frombuffer(b" " + b"abcingtion" * 40, np.uint8)), [None]
-    e._batch([b" " + b"abcingtion" * 40], [0], batch)
-    assert long == batch[0].tolist()
+
+
+def unigram_bytes(path: str) -> bytes:
+    """The model file with its type set to unigram: field 3 of the trainer's message, which is field 2 of the file's."""
+
+    def varint(data, at):
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return value, at
+
+    def fields(data):
+        at = 0
+        while at < len(data):
+            begin = at
+            key, at = varint(data, at)
+            body = at
+            if key & 7 == 0:
+                _, at = varint(data, at)
+            elif key & 7 == 2:
+                size, body = varint(data, at)
+                at = body + size
+            else:
+                at += 8 if key & 7 == 1 else 4
+            yield key >> 3, data[begin:at], body - begin
+
+    with open(path, "rb") as f:
+        data = f.read()
+    out = []
+    for number, whole, body in fields(data):
+        if number == 2:
+            spec = b"".join(b"\x18\x01" if n == 3 else x for n, x, _ in fields(whole[body:]))
+            size, n = b"", len(spec)
+            while n > 127:
+                size, n = size + bytes([n & 127 | 128]), n >> 7
+            whole = b"\x12" + size + bytes([n]) + spec
+        out.append(whole)
+    return b"".join(out)
+
+
+def test_words_of_a_whole_table(spark):
+    """Ids against a plain programme, with the same rule for equal sums; the library's lattice search over the same scores
+    (n-best of one, in single precision) finds no higher sum."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=unigram_bytes(PIECES))
+    words = {w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in (r.text or "").split(" ")} | {"日本語の文章" * 20, "ab" * 90 + "é"}
+    words = sorted(w for w in words if w)
+    assert len(words) > 40_000
+    e = pieces.Encoder(PIECES)
+    ids, upto = e.encode(pa.array(words))
+    ids, score = ids.tolist(), [sp.get_score(i) for i in range(sp.get_piece_size())]
+    number = {sp.id_to_piece(i).replace("▁", " "): i for i in range(3, sp.get_piece_size()) if not sp.is_byte(i)}
+    longest = max(map(len, number))
+    for k, w in enumerate(words):
+        text = " " + w.replace("▁", " ")
+        best, back = [0.0] + [-float("inf")] * len(text), [0] * (len(text) + 1)
+        for b in range(1, len(text) + 1):
+            for a in range(max(0, b - longest), b):  # the longest last piece first
+                i = number.get(text[a:b])
+                x = best[a] + (score[i] if i is not None else e.vocabulary.unknown if b == a + 1 else -float("inf"))
+                if x > best[b]:
+                    best[b], back[b] = x, a
+        want, b = [], len(text)
+        while b:
+            i = number.get(text[back[b] : b])
+            want = ([i] if i is not None else [int(e.vocabulary.byte_id[c]) for c in text[back[b] : b].encode()]) + want
+            b = back[b]
+        assert ids[upto[k] : upto[k + 1]] == want
+        theirs = sp.nbest_encode_as_ids(w, 1)[0]
+        assert any(sp.is_byte(i) for i in theirs) or sum(score[i] for i in theirs) <= best[-1]
+
+
+def test_windows_and_cuts_are_exact(monkeypatch):
+    e = pieces.Encoder(PIECES)
+    rng = random.Random(6)
+    words = [b" " + "".join(rng.choices(a, k=rng.randint(520, 3000))).encode() for a in ("abcingtion", "ab", "a", "etaoinshrdlu", "é日a", "0123456789abcdef") for _ in range(4)]
+    plain: list = [None] * len(words)
+    for i in range(len(words)):
+        e._batch(words, [i], plain)
+    for window, together in ((128, 256), (32, 3), (1000, 5)):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        monkeypatch.setattr(pieces, "WINDOWS", together)
+        got = e._windowed(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
+        assert all((a == b).all() for a, b in zip(got, plain, strict=True))
+    monkeypatch.setattr(pieces, "BATCH_BYTES", 700)
+    for w, edges in zip(words, plain, strict=True):
+        ends = set(np.cumsum(edges).tolist())
+        parts = e._cut(w)
+        assert b"".join(parts) == w and set(np.cumsum([len(p) for p in parts]).tolist()) <= ends
 
 
 def test_piece_tables(spark):
@@ -131,4 +221,10 @@ def test_piece_tables(spark):
     assert [r.piece_ids for r in got if r.text is None] == [None]
     assert [r.piece_ids for r in got if r.text == ""] == [[]]
     assert all(r.decoded == r.text for r in pieces.decode(coded.drop("round_trip"), PIECES).collect())
+    named = docs.drop("n_pieces").withColumn("N_Pieces", F.lit("x")).withColumn("Piece_IDs", F.lit("y")).withColumn("round_trip", F.lit("mine")).withColumn("ids", F.lit("own"))
+    again = pieces.encode(named, PIECES)
+    assert again.columns == ["doc_id", "text", "round_trip", "ids", "piece_ids", "n_pieces", "ids_crc32"] and {r.round_trip + r.ids for r in again.collect()} == {"mineown"}
+    assert sorted(str(r.decoded) for r in pieces.decode(again.withColumn("Decoded", F.lit("z")), PIECES).collect()) == sorted(str(r.text) for r in again.collect())
+    odd = spark.createDataFrame([(None, []), (1, None), (2, [])], "doc_id long, piece_ids array<int>")
+    assert sorted((str(r.doc_id), r.decoded) for r in pieces.decode(odd, PIECES).collect() if r.decoded is not None) == [("2", ""), ("None", "")]
     assert pieces.encode(docs.limit(0), PIECES).count() == 0
