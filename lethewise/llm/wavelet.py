@@ -2,9 +2,10 @@
 
 A shard holds consecutive documents. Its ids are replaced by their rank in the shard's sorted alphabet and stored as one
 bit-plane per bit of that rank, the highest first; before each next plane the ids are stably parted by the plane's bit
-(Claude, Navarro, Ordonez 2015). A running count of ones before every block of 1024 bits makes ``rank`` a table look-up
-and a popcount, so that one shard image answers token access, counts, and the place of the k-th occurrence without being
-unpacked. Each block of planes is deflated where that makes it smaller.
+(Claude, Navarro, Ordonez 2015). The image holds a directory of the ones before every ``STRIDE`` bits, so that ``rank`` is a
+look-up and a popcount, and ``select`` a search in it. Planes are deflated in blocks where that makes them smaller, and a
+block is inflated when a query first touches it: one image answers token access, counts, and the place of the k-th
+occurrence, and reads only the blocks on its way. ``access``, ``count`` and ``occurrence`` ask all shards of a folder.
 
 Defined results: a null text is empty and holds only the end id; rows with equal doc_id stand in the order of their
 texts; a null doc_id comes first; an empty table makes no shard. Other columns of the input are ignored.
@@ -21,29 +22,31 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbuf
 from .memo import KNOWN_PIECES, PieceMemo
 
-MAGIC = b"WVMX1\n"
+MAGIC = b"WVMX2\n"
 #: Bits between two entries of a plane's running count.
-STRIDE = 1024
+STRIDE = 4096
 #: Bytes of a plane that are deflated together.
 BLOCK = 1 << 15
 #: Ids in a shard, unless a single document has more.
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are encoded together.
 PASS_BYTES = 4 << 20
+#: Questions to all shards that are asked at once.
+MOST_QUESTIONS = 100_000
 
 
 class WaveletShard:
     """Ids of consecutive documents; ``starts`` are the n + 1 offsets of the documents."""
 
-    def __init__(self, planes, zeros, n, alphabet, doc_ids, starts):
-        self.planes, self.zeros, self.n, self.alphabet, self.doc_ids, self.starts = planes, zeros, n, alphabet, doc_ids, starts
-        self._counts: dict[int, np.ndarray] = {}
+    def __init__(self, blocks, ones, zeros, n, alphabet, doc_ids, starts):
+        self.blocks, self.ones, self.zeros, self.n, self.alphabet, self.doc_ids, self.starts = blocks, ones, zeros, n, alphabet, doc_ids, starts
+        self._open: dict[tuple[int, int], np.ndarray] = {}
 
     # -- building ---------------------------------------------------------------------------------------------------
 
@@ -61,74 +64,75 @@ class WaveletShard:
             low, high = np.flatnonzero(~bit), np.flatnonzero(bit)  # places: half the time of masks on mixed bits
             zeros.append(len(low))
             x = np.concatenate([x[low], x[high]])
-        return cls(planes, zeros, len(tokens), alphabet, doc_ids, np.asarray(starts, np.int64))
+        ones = []
+        for p in planes:
+            whole = np.zeros(-(-len(p) // (STRIDE // 8)) * (STRIDE // 8), np.uint8)
+            whole[: len(p)] = p
+            ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, STRIDE // 8).sum(1, dtype=np.uint32), dtype=np.uint32)]))
+        blocks = []
+        for p in planes:
+            blocks.append([])
+            for i in range(0, len(p), BLOCK):
+                part = p[i : i + BLOCK].tobytes()
+                small = zlib.compress(part, 1)
+                blocks[-1].append(small if len(small) < 0.95 * len(part) else part)
+        return cls(blocks, ones, zeros, len(tokens), alphabet, doc_ids, np.asarray(starts, np.int64))
 
     # -- the file image ---------------------------------------------------------------------------------------------
 
     def to_bytes(self) -> bytes:
-        body, index = [], []
-        for p in self.planes:
-            blocks = []
-            for i in range(0, len(p), BLOCK):
-                part = p[i : i + BLOCK].tobytes()
-                small = zlib.compress(part, 1)
-                blocks.append(small if len(small) < 0.95 * len(part) else part)
-            index.append([len(b) for b in blocks])
-            body += blocks
         lens = np.diff(self.starts).astype("<u4").tobytes()
-        head = {"n": self.n, "zeros": self.zeros, "blocks": index, "docs": self.doc_ids}
+        head = {"n": self.n, "zeros": self.zeros, "blocks": [[len(b) for b in plane] for plane in self.blocks], "docs": self.doc_ids}
         meta = zlib.compress(json.dumps(head).encode(), 1)
         alpha, docs = zlib.compress(self.alphabet.astype("<u4").tobytes(), 1), zlib.compress(lens, 1)
-        return b"".join([MAGIC, struct.pack("<III", len(meta), len(alpha), len(docs)), meta, alpha, docs, *body])
+        ones = b"".join(x.astype("<u4").tobytes() for x in self.ones)
+        return b"".join([MAGIC, struct.pack("<IIII", len(meta), len(alpha), len(docs), len(ones)), meta, alpha, docs, ones, *(b for plane in self.blocks for b in plane)])
 
     @classmethod
     def from_bytes(cls, image: bytes) -> WaveletShard:
+        """Opens an image; its planes stay as they are until they are asked."""
         if image[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet shard")
-        at = len(MAGIC) + 12
-        sizes = struct.unpack("<III", image[len(MAGIC) : at])
-        parts = []
-        for s in sizes:
-            parts.append(zlib.decompress(image[at : at + s]))
+        at = len(MAGIC) + 16
+        sizes = struct.unpack("<IIII", image[len(MAGIC) : at])
+        parts, view = [], memoryview(image)
+        for k, s in enumerate(sizes):
+            parts.append(zlib.decompress(view[at : at + s]) if k < 3 else view[at : at + s])
             at += s
-        head = json.loads(parts[0])
-        whole, planes = (head["n"] + 7) // 8, []
-        for sizes in head["blocks"]:
-            plane, left = [], whole
-            for s in sizes:
-                raw, size = image[at : at + s], min(BLOCK, left)
-                plane.append(raw if s == size else zlib.decompress(raw))
-                at, left = at + s, left - size
-            planes.append(np.frombuffer(b"".join(plane), np.uint8))
+        head, blocks = json.loads(parts[0]), []
+        for plane in head["blocks"]:
+            blocks.append([])
+            for s in plane:
+                blocks[-1].append(view[at : at + s])
+                at += s
         starts = np.concatenate([[0], np.cumsum(np.frombuffer(parts[2], "<u4").astype(np.int64))])
-        return cls(planes, head["zeros"], head["n"], np.frombuffer(parts[1], "<u4"), head["docs"], starts)
+        return cls(blocks, np.frombuffer(parts[3], "<u4").reshape(len(blocks), -1), head["zeros"], head["n"], np.frombuffer(parts[1], "<u4"), head["docs"], starts)
 
-    # -- queries ----------------------------------------------------------------------------------------------------
+    def _block(self, level: int, k: int) -> np.ndarray:
+        if (level, k) not in self._open:
+            raw, size = self.blocks[level][k], min(BLOCK, (self.n + 7) // 8 - k * BLOCK)
+            self._open[level, k] = np.frombuffer(raw if len(raw) == size else zlib.decompress(raw), np.uint8)
+        return self._open[level, k]
 
-    def _before(self, level: int) -> np.ndarray:
-        """Ones of a plane before each block of STRIDE bits."""
-        if level not in self._counts:
-            p = self.planes[level]
-            padded = np.zeros(-(-max(1, len(p)) // (STRIDE // 8)) * (STRIDE // 8), np.uint8)
-            padded[: len(p)] = p
-            ones = np.bitwise_count(padded).reshape(-1, STRIDE // 8).sum(1, dtype=np.int64)
-            self._counts[level] = np.concatenate([[0], np.cumsum(ones)])
-        return self._counts[level]
+    def _bytes(self, level: int, a: int, b: int) -> np.ndarray:
+        """Bytes a to b of a plane, within one stretch of STRIDE bits (a block holds a whole number of them)."""
+        k = a // BLOCK
+        return self._block(level, k)[a - k * BLOCK : b - k * BLOCK] if a < b else np.zeros(0, np.uint8)
+
+    # -- queries ----------------------------------------------------------------------------------------------------
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         b = i // STRIDE
-        at, p = b * STRIDE // 8, self.planes[level]
-        full = int(np.bitwise_count(p[at : i // 8]).sum(dtype=np.int64))
-        rest = int(p[i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0
-        return int(self._before(level)[b]) + full + rest
+        out = int(self.ones[level][b]) + int(np.bitwise_count(self._bytes(level, b * STRIDE // 8, i // 8)).sum(dtype=np.int64))
+        return out + int(self._bytes(level, i // 8, i // 8 + 1)[0] & ((1 << i % 8) - 1)).bit_count() if i % 8 else out
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The place of the k-th (from 0) bit of this value in a plane."""
-        before = self._before(level)
-        have = before if bit else np.arange(len(before), dtype=np.int64) * STRIDE - before
+        ones = self.ones[level].astype(np.int64)
+        have = ones if bit else np.arange(len(ones), dtype=np.int64) * STRIDE - ones
         b = int(np.searchsorted(have, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][b * STRIDE // 8 : (b + 1) * STRIDE // 8], bitorder="little")
+        bits = np.unpackbits(self._bytes(level, b * STRIDE // 8, min((b + 1) * STRIDE // 8, (self.n + 7) // 8)), bitorder="little")
         return b * STRIDE + int(np.flatnonzero(bits == bit)[k - int(have[b])])
 
     def access(self, i: int) -> int:
@@ -137,7 +141,7 @@ class WaveletShard:
             raise IndexError(i)
         value = 0
         for level, z in enumerate(self.zeros):
-            bit = int(self.planes[level][i // 8] >> i % 8 & 1)
+            bit = int(self._bytes(level, i // 8, i // 8 + 1)[0] >> i % 8 & 1)
             ones = self._rank1(level, i)
             i, value = (z + ones, value << 1 | 1) if bit else (i - ones, value << 1)
         return int(self.alphabet[value])
@@ -171,7 +175,8 @@ class WaveletShard:
         """All ids, from the lowest plane up."""
         x = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for k, level in enumerate(reversed(range(len(self.zeros)))):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = np.concatenate([self._block(level, b) for b in range(len(self.blocks[level]))]) if self.n else np.zeros(0, np.uint8)
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up, z = np.empty_like(x), self.zeros[level]
             up[np.flatnonzero(~bit)] = x[:z]
             up[np.flatnonzero(bit)] = x[z:] | x.dtype.type(1 << k)
@@ -318,13 +323,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     )
 
 
+def shards(spark, path: str) -> DataFrame:
+    """The shards at ``path`` with ``base``, the number of ids before each one's part."""
+    rows = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    # one row for each range of doc_id: their number is that of the writer's tasks, whatever the corpus holds
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    return rows.join(F.broadcast(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before.alias("base"))), "part")
+
+
 def read_documents(spark, path: str) -> DataFrame:
     """Per document of the shards at ``path``: doc_id, start, n_tokens, ids_crc32, shard (part and seq)."""
-    from pyspark.sql import Window
-
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    # one row for each range of doc_id: their number is that of the writer's tasks, whatever the corpus holds
-    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "base")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,10 +344,64 @@ def read_documents(spark, path: str) -> DataFrame:
                 k = len(crc)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(shard.doc_ids, pa.int64()), "part": pa.array([r["part"]] * k, pa.int32()), "seq": pa.array([r["seq"]] * k, pa.int32()),
-                        "at": pa.array(r["part_start"] + at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+                        "doc_id": pa.array(shard.doc_ids, pa.int64()), "start": pa.array(r["base"] + r["part_start"] + at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()),
+                        "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([r["part"]] * k, pa.int32()), "seq": pa.array([r["seq"]] * k, pa.int32()),
                     }
                 )
 
-    rows = shards.select("part", "seq", "part_start", "image").mapInArrow(unpack, "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(totals), "part").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
+    return shards(spark, path).select("part", "seq", "part_start", "base", "image").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")
+
+
+def _asked(spark, path: str, questions: list[tuple], answer, schema: str) -> DataFrame:
+    """``answer(shard, start, questions)`` of every shard, as rows (part, seq, ...)."""
+    if len(questions) > MOST_QUESTIONS:
+        raise ValueError(f"{len(questions)} questions; ask {MOST_QUESTIONS} at once at most")
+    shared = spark.sparkContext.broadcast(questions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                rows = [(r["part"], r["seq"], *x) for x in answer(WaveletShard.from_bytes(r["image"]), r["base"] + r["part_start"], shared.value, (r["part"], r["seq"]))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), *[pa.int64()] * (len(rows[0]) - 2)], strict=True)], names=["part", "seq", *(f.split()[0] for f in schema.split(", "))])
+
+    return shards(spark, path).select("part", "seq", "part_start", "base", "image").mapInArrow(run, f"part int, seq int, {schema}")
+
+
+def access(spark, path: str, places: list[int]) -> DataFrame:
+    """(place, token) for places in the ids of all documents, from 0; places that don't exist give no row."""
+
+    def answer(shard, start, asked, _):
+        return [(p, shard.access(p - start)) for p in asked if start <= p < start + shard.n]
+
+    return _asked(spark, path, sorted(set(places)), answer, "place long, token long").select("place", "token")
+
+
+def _counts(spark, path: str, tokens: list[int]) -> DataFrame:
+    def answer(shard, start, asked, _):
+        return [(start, t, n) for t, n in ((t, shard.count(t)) for t in asked) if n]
+
+    return _asked(spark, path, sorted(set(tokens)), answer, "start long, token long, n long")
+
+
+def count(spark, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each token occurs in all documents; one that doesn't gives no row."""
+    return _counts(spark, path, tokens).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrence(spark, path: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    """(token, k, place): where the k-th (from 0) occurrence of a token stands; one that doesn't exist gives no row."""
+    per_shard = _counts(spark, path, [t for t, _ in wanted])
+    # a token has one row for each shard that holds it, a millionth of its ids or less
+    before = F.sum("n").over(Window.partitionBy("token").orderBy("start")) - F.col("n")
+    asked = spark.createDataFrame(sorted(set(wanted)), "token long, k long")
+    found = per_shard.withColumn("before", before).join(F.broadcast(asked), "token").where("k >= before and k < before + n")
+    homes = {}
+    for r in found.select("part", "seq", "token", "k", "before").collect():  # one row a question at most
+        homes.setdefault((r["part"], r["seq"]), []).append((r["token"], r["k"], r["before"]))
+
+    def answer(shard, start, asked, which):
+        return [(t, k, start + shard.occurrence(t, k - b)) for key, some in asked if key == which for t, k, b in some]
+
+    return _asked(spark, path, list(homes.items()), answer, "token long, k long, place long").select("token", "k", "place")

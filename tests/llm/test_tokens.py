@@ -64,8 +64,17 @@ def test_shards_round_trip(spark):
         ids = e.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    whole = [t for text in [None, "x " * 50, "a", None, "", "b c", "long " * 20_000][1:] for t in e.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]]
+    places = [0, 1, 2, len(whole) // 2, len(whole) - 1, len(whole), -1]
+    assert {r.place: r.token for r in wavelet.access(spark, path, places).collect()} == {p: whole[p] for p in places[:5]}
+    tokens = sorted({0, whole[0], whole[-2], 49_999})
+    assert {r.token: r.n for r in wavelet.count(spark, path, tokens).collect()} == {t: whole.count(t) for t in tokens if t in whole}
+    wanted = [(t, k) for t in tokens for k in (0, 1, whole.count(t) - 1, whole.count(t)) if k >= 0]
+    at = {t: [i for i, x in enumerate(whole) if x == t] for t in tokens}
+    assert {(r.token, r.k): r.place for r in wavelet.occurrence(spark, path, wanted).collect()} == {(t, k): at[t][k] for t, k in wanted if k < len(at[t])}
     empty = storage.shared_dir(spark, "t")
     wavelet.write_shards(docs.limit(0), empty, BPE)
+    assert wavelet.access(spark, empty, [0]).count() == wavelet.count(spark, empty, [0]).count() == wavelet.occurrence(spark, empty, [(0, 0)]).count() == 0
     assert wavelet.read_documents(spark, empty).count() == 0
 
 
