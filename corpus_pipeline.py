@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. The first four return the columns of ``docs``:
 
 1. ``language_id`` learns from the labelled rows and drops documents whose language it can't tell: a null text, one
-   without a letter, or a score below the calibrated limit;
+   without a letter, or a score below the calibrated limit (of which there is none without labelled rows);
 2. ``near_dedup`` links texts whose sets of five-word shingles overlap by 0.8 or more (verified on the sets), and keeps
    the document with the smallest id of each group;
 3. ``decontaminate`` drops documents in which a window of a benchmark item occurs;
@@ -27,8 +27,6 @@ SHINGLE_WORDS = 5
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     storage.small_batches(spark)
-    if docs.where("lang is not null and text is not null").isEmpty():
-        return docs.limit(0)
     return langid.keep_identified(docs, langid.train(docs))
 
 
