@@ -74,6 +74,16 @@ def pdu_forget(logits: Vector) -> Column:
     return F.pow(F.array_max(logits) - total(logits) / F.size(logits), F.lit(2.0))
 
 
+def pdu_duals(steps: Column, epsilon: float, step: float, start: float = 0.0) -> Column:
+    """The dual weight after each of an array of retain losses, in their order."""
+    begin = F.struct(F.lit(start).alias("dual"), F.array().cast("array<double>").alias("all"))
+
+    def after(state: Column, retain: Column) -> Column:
+        return let(F.greatest(F.lit(0.0), state["dual"] + step * (retain - epsilon)), lambda d: F.struct(d.alias("dual"), F.concat(state["all"], F.array(d)).alias("all")))
+
+    return F.aggregate(steps, begin, after)["all"]
+
+
 def pdu_dual(dual: float, retain: float, epsilon: float, step: float) -> float:
     return max(0.0, dual + step * (retain - epsilon))
 
@@ -93,7 +103,7 @@ def unilogit(logits: Vector, target: Column) -> Column:
 
 
 def flat(good: Column, bad: Column, kind: str = "kl") -> Column:
-    """Per pair of probabilities: -(g*(good) - f*(g*(bad))) of an f-divergence."""
+    """Per pair of probabilities: -(g*(good) - f*(g*(bad))) of an f-divergence; for js, f*(u) = -log(2 - exp(u))."""
     if kind == "tv":
         return -(F.tanh(good) / 2 - F.tanh(bad) / 2)
     if kind == "kl":
@@ -102,7 +112,7 @@ def flat(good: Column, bad: Column, kind: str = "kl") -> Column:
         def g(x: Column) -> Column:
             return F.lit(0.6931471805599453) - F.log1p(F.exp(-x))
 
-        return -(g(good) + F.log1p(-F.exp(g(bad)) / 2) - F.lit(0.0) * bad)
+        return -(g(good) + F.ln(2 - F.exp(g(bad))))
     raise ValueError(f"no divergence {kind!r}")
 
 
@@ -115,6 +125,12 @@ def role_split(role: Column, loss: Column, weight: float = 1.0) -> Column:
     return side(0) + weight * side(1)
 
 
+def remember_and_flatten(role: Column, token_loss: Column, uniform: Column, weight: float = 1.0) -> Column:
+    """Aggregate: the mean cross entropy of role 0 plus weight times the mean divergence from the uniform distribution
+    of role 1."""
+    return role_split(role, F.when(role == 0, token_loss).otherwise(uniform), weight)
+
+
 def masked_mse(a: Vector, b: Vector, mask: Column) -> Column:
     """Squared distance of activations to a control vector over unmasked rows' mean."""
     return F.avg(F.when(mask, dot(F.zip_with(a, b, lambda x, y: x - y), F.zip_with(a, b, lambda x, y: x - y)) / F.size(a)))
@@ -122,7 +138,7 @@ def masked_mse(a: Vector, b: Vector, mask: Column) -> Column:
 
 REGISTRY = {
     "GradAscent": gradient_ascent, "GradDiff": grad_diff, "KL": kl_to_reference, "DPO": dpo, "NPO": npo, "SimNPO": simnpo, "WGA": wga, "SatImp": satimp, "CEU": ceu,
-    "UNDIAL": undial, "uniform": uniform_kl, "PDU": pdu_forget, "Unilogit": unilogit, "FLAT": flat, "RoleSplit": role_split, "RMU": masked_mse,
+    "UNDIAL": undial, "uniform": uniform_kl, "PDU": pdu_forget, "Unilogit": unilogit, "FLAT": flat, "RoleSplit": role_split, "RMU": masked_mse, "remember+uniform": remember_and_flatten,
 }
 
 

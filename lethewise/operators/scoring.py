@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import salted_join
+from lethewise.tables import written
+
+from .joins import lookup, salted_join
 
 
 def exploded(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
@@ -33,6 +35,19 @@ def token_scores(tokens: DataFrame, logprobs: DataFrame) -> DataFrame:
     return salted_join(tokens, logprobs, "token")
 
 
+def counted_scores(tokens: DataFrame, keys: list[str], models: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(keys, token, c, lp_<model> ...) with one row for each distinct token of a text, and the vocabulary's log p.
+
+    Texts are counted before anything is joined; the counts give the vocabulary, and are joined to it by ``lookup``, which
+    broadcasts the few tokens that very many texts hold. Both results come from tables that are written once."""
+    counted = written(tokens.groupBy(*keys, "token").agg(F.count("*").alias("c")), "counted")
+    sums = [F.sum(F.when(rows, F.col("c")).otherwise(0)).alias(f"c_{m}") for m, rows in models.items()]
+    counts = written(counted.groupBy("token").agg(F.count("*").alias("n_texts"), *sums), "vocabulary")
+    logprobs = unigram_logprobs(counts, list(models))
+    known = written(logprobs.join(counts.select("token", "n_texts"), "token"), "logprobs")
+    return lookup(counted, known, "token", "n_texts", counted.count()), known.drop("n_texts")
+
+
 def vocabulary_moments(logprobs: DataFrame, model: str) -> DataFrame:
     """One row: mean and variance of log p over the vocabulary, each token weighted by p (mu, sigma2)."""
     lp = F.col(f"lp_{model}")

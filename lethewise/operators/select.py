@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,60 +9,60 @@ from pyspark.sql import functions as F
 
 from lethewise.functions.stats import lower_median
 
-#: Vectors of the compared side that are broadcast at once: at 1000 numbers each, 130 MB.
-BLOCK_ROWS = 1 << 14
+from .ranks import running_sums
+
+#: Vectors of a side of a tile: at 1000 numbers each, 65 MB.
+BLOCK_ROWS = 1 << 13
+#: Tiles along a side where the tables have enough rows for them, so that small ones are shared out too.
+LEAST_TILES, LEAST_ROWS = 4, 256
+
+_TILE = "key long, max_sim double, sum_sim double, n_pairs long"
 
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
-    for r in df.select(key, vector).toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) >= rows:
-            yield np.array(ids, np.int64), np.array(vectors, np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vectors, np.float64)
+def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = table.column("key").to_numpy().astype(np.int64)
+    x = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
+    return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def similarity(rows: DataFrame, others: DataFrame, key: str = "vec_id", vector: str = "embedding", not_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row: the largest cosine to any of ``others``, the sum of all, and their number (columns key, max_sim, sum_sim,
-    n_pairs). With ``not_self`` a row isn't compared with itself.
+    n_pairs). With ``not_self`` a row isn't compared with itself. Without anything to compare with, max_sim is null.
 
-    The other side is broadcast in blocks of a fixed size, and each block is a matrix product per batch of rows, so the
-    matrix of all pairs exists nowhere. Vectors are normalised; a vector of zeros has cosine 0.
+    Both sides are dealt by hash into blocks of about ``block_rows``; a tile is a block of either side, met in a shuffle.
+    Each tile is matrix products of a few rows at a time, so the matrix of all pairs exists nowhere, and what it says of
+    a row is combined by key. Vectors are normalised; a vector of zeros has cosine 0.
     """
-    spark, parts = rows.sparkSession, []
-    out = "key long, max_sim double, sum_sim double, n_pairs long"
-    for ids, matrix in _blocks(others, key, vector, block_rows):
-        shared = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            their_ids, theirs = shared.value
-            for batch in batches:
-                for a in range(0, batch.num_rows, 256):
-                    part = batch.slice(a, 256)
-                    own = np.asarray(part.column(0), dtype=np.int64)
-                    x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(own), -1)
-                    sims = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ theirs.T
-                    mine = np.full(len(own), len(their_ids))
-                    total = sims.sum(1)
-                    if not_self:
-                        same = own[:, None] == their_ids
-                        total -= np.where(same, sims, 0).sum(1)
-                        mine = mine - same.sum(1)
-                        sims[same] = -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sims.max(1)), pa.array(total), pa.array(mine, pa.int64())], names=["key", "max_sim", "sum_sim", "n_pairs"])
-
-        parts.append(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, out))
-    if not parts:
-        return rows.select(F.col(key).cast("long").alias(key), F.lit(None).cast("double").alias("max_sim"), F.lit(0.0).alias("sum_sim"), F.lit(0).cast("long").alias("n_pairs"))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", key)
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    return all_parts.groupBy("key").agg(F.max("max_sim").alias("max_sim"), F.sum("sum_sim").alias("sum_sim"), F.sum("n_pairs").alias("n_pairs")).withColumnRenamed("key", key)
+    sides = [d.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")) for d in (rows, others)]
+
+    def tiles(d: DataFrame) -> int:
+        n = d.count()
+        return max(1, -(-n // block_rows), min(LEAST_TILES, n // LEAST_ROWS))
+
+    n = [tiles(d) for d in sides]
+    own, their = (F.pmod(F.xxhash64("key"), F.lit(k)).cast("int") for k in n)
+    every = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in n]
+    left, right = sides[0].select("key", "v", own.alias("i"), every[1].alias("j")), sides[1].select("key", "v", every[0].alias("i"), their.alias("j"))
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "max_sim": pa.array([], pa.float64()), "sum_sim": pa.array([], pa.float64()), "n_pairs": pa.array([], pa.int64())})
+        (ids, x), (their_ids, y) = _unit(a), _unit(b)
+        best, total, pairs = np.empty(len(ids)), np.empty(len(ids)), np.full(len(ids), len(their_ids))
+        for k in range(0, len(ids), 256):
+            sims, at = x[k : k + 256] @ y.T, slice(k, k + 256)
+            total[at] = sims.sum(1)
+            if not_self:
+                same = ids[at, None] == their_ids
+                total[at] -= np.where(same, sims, 0).sum(1)
+                pairs[at] -= same.sum(1)
+                sims[same] = -np.inf
+            best[at] = sims.max(1)
+        return pa.table({"key": pa.array(ids), "max_sim": pa.array(best, mask=pairs == 0), "sum_sim": pa.array(total), "n_pairs": pa.array(pairs, pa.int64())})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(tile, _TILE)
+    none = sides[0].select("key", F.lit(None).cast("double").alias("max_sim"), F.lit(0.0).alias("sum_sim"), F.lit(0).cast("long").alias("n_pairs"))
+    return met.unionByName(none).groupBy("key").agg(F.max("max_sim").alias("max_sim"), F.sum("sum_sim").alias("sum_sim"), F.sum("n_pairs").alias("n_pairs")).withColumnRenamed("key", key)
 
 
 #: Digits to which scores are rounded before they are ranked, so that ties do not depend on the order of a sum.
@@ -72,10 +70,18 @@ RANK_DIGITS = 9
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "vec_id") -> DataFrame:
-    """The k best rows; of equal scores the smaller key."""
+    """The k best rows, a few; of equal scores the smaller key."""
     return scored.orderBy(F.desc(F.round(score, RANK_DIGITS)), key).limit(k)
 
 
+def top_share(scored: DataFrame, share: float, score: str = "score", key: str = "vec_id", name: str = "chosen") -> DataFrame:
+    """All rows, with whether they are among the best share of them (of equal scores the smaller key): ranks by ranges,
+    so however many are chosen no task holds them together."""
+    k = top_fraction_size(share, scored.count())
+    ranked = running_sums(scored.withColumn("_down", -F.round(score, RANK_DIGITS)), "_down", {"_r": F.lit(1)}, [key])
+    return ranked.withColumn(name, F.col("_r") <= k).drop("_down", "_r")
+
+
 def top_fraction_size(share: float, n: int) -> int:
     """max(1, share * n) rounded half to even."""
     return max(1, round(share * n))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lethewise.tables import written
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -58,12 +60,16 @@ class Plan:
             visit(m.name)
 
     def run(self, done: dict[str, DataFrame] | None = None, sink: Callable[[str, DataFrame], None] | None = None) -> dict[str, DataFrame]:
-        """Results by name. Those in ``done`` are taken as they are; each new one goes to ``sink`` as soon as it is there."""
+        """Results by name. Those in ``done`` are taken as they are; each new one goes to ``sink`` as soon as it is there.
+        A result that others need is written once, and they read it."""
         results = dict(done or {})
+        needed = {n for m in self.metrics.values() for n in m.needs}
         for name in self.order:
             if name not in results:
                 m = self.metrics[name]
                 results[name] = m.compute(*[results[n] for n in m.needs], **m.options)
+                if name in needed:
+                    results[name] = written(results[name], "metric")
                 if sink:
                     sink(name, results[name])
         return results

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lethewise import tables
 from lethewise.functions import text as tx
 from lethewise.operators import ranks, scoring
 
@@ -45,7 +46,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item (from 0), split, question, answer."""
     p = pairs(spark, sf_dir).withColumn("_key", F.col("conv_id") * 100000 + F.col("turn"))
-    return ranks.add_row_index(p, "_key", "item").select("item", "conv_id", "split", "question", "answer")
+    return tables.written(ranks.add_row_index(p, "_key", "item").select("item", "conv_id", "split", "question", "answer"), "items")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +61,17 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return right.unionByName(other).unionByName(wrong)
 
 
+def document_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Counted tokens of every document with log p under the three models, and the vocabulary's log p."""
+    rows = {"target": F.lit(True), "retrain": F.col("split") == "retain", "reference": F.col("split") == "holdout"}
+    return scoring.counted_scores(document_tokens(spark, sf_dir).drop("pos"), ["doc_id", "split"], rows)
+
+
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, split, pos, token."""
     return scoring.exploded(documents(spark, sf_dir), tx.words("text"), "doc_id", "split")
 
 
-def document_logprobs(tokens: DataFrame) -> DataFrame:
-    rows = {"target": F.lit(True), "retrain": F.col("split") == "retain", "reference": F.col("split") == "holdout"}
-    return scoring.unigram_logprobs(scoring.unigram_counts(tokens, rows), MODELS)
-
-
 def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, kind, answer_pos, pos, token."""
     return scoring.exploded(answers(spark, sf_dir), tx.words("text"), "item", "kind", "answer_pos")
@@ -86,7 +88,7 @@ def answer_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_scores(spark: SparkSession, sf_dir: str, model: str = "target") -> DataFrame:
     """Per item and answer: n_tokens, sum_loss, avg_loss, prob."""
     s = scoring.token_scores(answer_tokens(spark, sf_dir), answer_logprobs(spark, sf_dir))
-    return scoring.item_scores(s, ["item", "kind", "answer_pos"], f"lp_{model}")
+    return tables.written(scoring.item_scores(s, ["item", "kind", "answer_pos"], f"lp_{model}"), "answer-scores")
 
 
 # -- the same in SQL --------------------------------------------------------------------------------------------------

@@ -79,7 +79,8 @@ def greedy_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("vec_id", arrays.greedy(F.col("s"), F.col("mask")).alias("token"))
 
 
-@query()
+@query(f"""WITH {_L}, u AS (SELECT vec_id, CAST('0x' || substr(md5('42|' || vec_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM embeddings), s AS (SELECT vec_id, v, sum(exp(lp)) OVER (PARTITION BY vec_id ORDER BY v) AS upto FROM p)
+SELECT vec_id, CAST(least(count(*) FILTER (upto <= u), 63) AS INTEGER) AS token FROM s JOIN u USING (vec_id) GROUP BY vec_id""")
 def sampled_token(spark: SparkSession, sf: str) -> DataFrame:
     made = _logits(spark, sf).withColumn("u", ranks.hash_number(42, "vec_id") / F.lit(float(1 << 32)))
     return made.select("vec_id", arrays.sampled(F.col("base"), F.col("u")).alias("token"))
@@ -173,10 +174,11 @@ def loss_role_split(spark: SparkSession, sf: str) -> DataFrame:
     return s.agg(F.round(losses.role_split(F.col("item") % 2, loss, 5.0), 6).alias("loss"))
 
 
-@query(f"{_I} SELECT item, round(-(exp(-win / n) - exp(exp(-lose / n) - 1)), 6) AS kl, round(-((exp(exp(-win / n)) - exp(-exp(-win / n))) / (exp(exp(-win / n)) + exp(-exp(-win / n))) / 2 - (exp(exp(-lose / n)) - exp(-exp(-lose / n))) / (exp(exp(-lose / n)) + exp(-exp(-lose / n))) / 2), 6) AS tv FROM i")
+@query(f"""{_I} SELECT item, round(-(exp(-win / n) - exp(exp(-lose / n) - 1)), 6) AS kl, round(-((exp(exp(-win / n)) - exp(-exp(-win / n))) / (exp(exp(-win / n)) + exp(-exp(-win / n))) / 2 - (exp(exp(-lose / n)) - exp(-exp(-lose / n))) / (exp(exp(-lose / n)) + exp(-exp(-lose / n))) / 2), 6) AS tv,
+  round(-((ln(2::DOUBLE) - ln(1 + exp(-exp(-win / n)))) + ln(2 - exp(ln(2::DOUBLE) - ln(1 + exp(-exp(-lose / n)))))), 6) AS js FROM i""")
 def loss_flat(spark: SparkSession, sf: str) -> DataFrame:
     good, bad = F.exp(-F.col("win") / F.col("n")), F.exp(-F.col("lose") / F.col("n"))
-    return _seq(spark, sf).select("item", F.round(losses.flat(good, bad, "kl"), 6).alias("kl"), F.round(losses.flat(good, bad, "tv"), 6).alias("tv"))
+    return _seq(spark, sf).select("item", F.round(losses.flat(good, bad, "kl"), 6).alias("kl"), F.round(losses.flat(good, bad, "tv"), 6).alias("tv"), F.round(losses.flat(good, bad, "js"), 6).alias("js"))
 
 
 # -- losses of positions ----------------------------------------------------------------------------------------------
@@ -219,3 +221,21 @@ def loss_pdu_forget(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_L} SELECT target, round(avg(d), 6) AS loss FROM (SELECT vec_id, target, avg((base - a1) * (base - a1)) AS d FROM x GROUP BY vec_id, target) GROUP BY target")
 def loss_rmu(spark: SparkSession, sf: str) -> DataFrame:
     return _logits(spark, sf).groupBy("target").agg(F.round(losses.masked_mse(F.col("base"), F.col("a1"), F.lit(True)), 6).alias("loss"))
+
+
+@query(f"WITH {_L}, t AS (SELECT vec_id, max(-lp) FILTER (v = target) AS ce, -avg(lp) - ln(64) AS u FROM p GROUP BY vec_id) SELECT round(avg(ce) FILTER (vec_id % 2 = 0) + 0.5::DOUBLE * avg(u) FILTER (vec_id % 2 = 1), 6) AS loss FROM t")
+def loss_remember_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.col("base")
+    nll = -F.get(arrays.log_softmax(b), F.col("target"))
+    each = _logits(spark, sf).select((F.col("vec_id") % 2).alias("role"), nll.alias("nll"), losses.uniform_kl(b).alias("u"))
+    return each.agg(F.round(losses.remember_and_flatten(F.col("role"), F.col("nll"), F.col("u"), 0.5), 6).alias("loss"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), d(user_id, r, dual) AS (
+SELECT user_id, 1, greatest(0, 0.1::DOUBLE * (value - 40)) FROM s WHERE r = 1 UNION ALL SELECT s.user_id, s.r, greatest(0, dual + 0.1::DOUBLE * (s.value - 40)) FROM d JOIN s ON s.user_id = d.user_id AND s.r = d.r + 1)
+SELECT user_id, count(*) AS n_steps, round(max(dual), 4) AS top, round(arg_max(dual, r), 4) AS last FROM d GROUP BY user_id""")
+def pdu_dual_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """The dual weight of each run (here a user's events, in order) after every step."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    d = e.select("user_id", losses.pdu_duals(F.transform("s", lambda x: x["value"]), 40.0, 0.1).alias("d"))
+    return d.select("user_id", F.size("d").cast("long").alias("n_steps"), F.round(F.array_max("d"), 4).alias("top"), F.round(F.element_at("d", -1), 4).alias("last"))

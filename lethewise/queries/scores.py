@@ -10,7 +10,7 @@ from lethewise.functions import text as tx
 from lethewise.operators import generation, metrics, scoring, select
 from lethewise.plans import metric_plan, sweep
 
-from .frames import ANSWER_SCORES, ANSWERS, DOC_PROBS, MODELS, WORDS, answer_logprobs, answer_scores, answer_tokens, document_logprobs, document_tokens, documents, table, unnested
+from .frames import ANSWER_SCORES, ANSWERS, DOC_PROBS, MODELS, WORDS, answer_logprobs, answer_scores, answer_tokens, document_scores, documents, table, unnested
 
 QUERIES, ORACLE_SQL = {}, {}
 SHARE = 0.4
@@ -30,18 +30,17 @@ def _r(name: str, to: str | None = None):
     return F.round(name, 6).alias(to or name)
 
 
-def _doc_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    tokens = document_tokens(spark, sf)
-    probs = document_logprobs(tokens)
-    return scoring.token_scores(tokens, probs), probs
+def _mean(model: str):
+    """Mean log p of a text's counted tokens."""
+    return F.sum(F.col("c") * F.col(f"lp_{model}")) / F.sum("c")
 
 
 # -- scores -----------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {DOC_PROBS} SELECT doc_id, count(*) AS n_tokens, " + ", ".join(f"round(-avg(lp_{m}), 6) AS loss_{m}" for m in MODELS) + " FROM scores GROUP BY doc_id")
 def unigram_scores(spark: SparkSession, sf: str) -> DataFrame:
-    s, _ = _doc_scores(spark, sf)
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), *[F.round(-F.avg(f"lp_{m}"), 6).alias(f"loss_{m}") for m in MODELS])
+    s, _ = document_scores(spark, sf)
+    return s.groupBy("doc_id").agg(F.sum("c").alias("n_tokens"), *[F.round(-_mean(m), 6).alias(f"loss_{m}") for m in MODELS])
 
 
 _BIGRAM = f"""{ANSWER_SCORES}, seq AS (SELECT item, pos, token, lag(token) OVER (PARTITION BY item ORDER BY pos) AS prev FROM answer_tokens WHERE kind = 'answer'
@@ -158,11 +157,28 @@ def greedy_continuation(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- attacks: forget documents are members (0), holdout documents are not (1) -----------------------------------------
 
-def _auc(scores: DataFrame, name: str) -> DataFrame:
-    """The area for scores by doc_id, with the mean score of each side."""
+def _marked(scores: DataFrame) -> DataFrame:
     label = F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 10 == 1, 1)
-    marked = scores.withColumn("label", label).where("label is not null").withColumn("score", F.round("score", 9))
-    return stats.auc(marked, "score", "label").select(F.lit(name).alias("attack"), _r("auc"))
+    return scores.withColumn("label", label).where("label is not null").withColumn("score", F.round("score", 9))
+
+
+def _auc(scores: DataFrame, name: str) -> DataFrame:
+    """The area for scores by doc_id."""
+    return stats.auc(_marked(scores), "score", "label").select(F.lit(name).alias("attack"), _r("auc"))
+
+
+def _loss(s: DataFrame) -> DataFrame:
+    return s.groupBy("doc_id").agg((-_mean("retrain")).alias("score"))
+
+
+def _against(s: DataFrame) -> DataFrame:
+    return s.groupBy("doc_id").agg((_mean("reference") - _mean("retrain")).alias("score"))
+
+
+def _standard(s: DataFrame, probs: DataFrame) -> DataFrame:
+    with_moments = s.join(F.broadcast(scoring.vocabulary_moments(probs, "retrain")))
+    z = (F.col("lp_retrain") - F.col("mu")) / F.sqrt(F.greatest(F.col("sigma2"), F.lit(1e-6)))
+    return metrics.min_k_counted(with_moments.withColumn("z", z), "doc_id", "z", SHARE)
 
 
 _AUC = """, l AS (SELECT round(score, 9) AS s, doc_id % 10 AS y FROM attack WHERE doc_id % 10 IN (0, 1)), k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM l)
@@ -171,14 +187,12 @@ SELECT '{}' AS attack, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - count(*)
 
 @query(f"WITH {DOC_PROBS}, attack AS (SELECT doc_id, -avg(lp_retrain) AS score FROM scores GROUP BY doc_id)" + _AUC.format("loss"))
 def mia_loss_auc(spark: SparkSession, sf: str) -> DataFrame:
-    s, _ = _doc_scores(spark, sf)
-    return _auc(s.groupBy("doc_id").agg((-F.avg("lp_retrain")).alias("score")), "loss")
+    return _auc(_loss(document_scores(spark, sf)[0]), "loss")
 
 
 @query(f"WITH {DOC_PROBS}, attack AS (SELECT doc_id, avg(lp_reference) - avg(lp_retrain) AS score FROM scores GROUP BY doc_id)" + _AUC.format("reference"))
 def mia_reference_auc(spark: SparkSession, sf: str) -> DataFrame:
-    s, _ = _doc_scores(spark, sf)
-    return _auc(s.groupBy("doc_id").agg((F.avg("lp_reference") - F.avg("lp_retrain")).alias("score")), "reference")
+    return _auc(_against(document_scores(spark, sf)[0]), "reference")
 
 
 _LOW = "SELECT doc_id, -avg(v) AS score FROM (SELECT doc_id, {0} AS v, row_number() OVER (PARTITION BY doc_id ORDER BY {0}, pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM {1}) WHERE r <= greatest(1, CAST(floor(n * 0.4::DOUBLE) AS INTEGER)) GROUP BY doc_id"
@@ -186,8 +200,7 @@ _LOW = "SELECT doc_id, -avg(v) AS score FROM (SELECT doc_id, {0} AS v, row_numbe
 
 @query(f"WITH {DOC_PROBS}, attack AS ({_LOW.format('lp_retrain', 'scores')})" + _AUC.format("min_k"))
 def mia_min_k_auc(spark: SparkSession, sf: str) -> DataFrame:
-    s, _ = _doc_scores(spark, sf)
-    return _auc(metrics.min_k(s, "doc_id", "lp_retrain", SHARE), "min_k")
+    return _auc(metrics.min_k_counted(document_scores(spark, sf)[0], "doc_id", "lp_retrain", SHARE), "min_k")
 
 
 _MOMENTS = "moments AS (SELECT sum(exp(lp_retrain) * lp_retrain) AS mu, sum(exp(lp_retrain) * lp_retrain * lp_retrain) AS sq FROM probs)"
@@ -195,15 +208,12 @@ _MOMENTS = "moments AS (SELECT sum(exp(lp_retrain) * lp_retrain) AS mu, sum(exp(
 
 @query(f"WITH {DOC_PROBS}, {_MOMENTS}, z AS (SELECT doc_id, pos, (lp_retrain - mu) / sqrt(greatest(sq - mu * mu, 1e-6)) AS z FROM scores, moments), attack AS ({_LOW.format('z', 'z')})" + _AUC.format("min_k_plus_plus"))
 def mia_min_k_pp_auc(spark: SparkSession, sf: str) -> DataFrame:
-    s, probs = _doc_scores(spark, sf)
-    with_moments = s.join(F.broadcast(scoring.vocabulary_moments(probs, "retrain")))
-    return _auc(metrics.min_k_plus_plus(with_moments, "doc_id", "lp_retrain", F.col("mu"), F.col("sigma2"), SHARE), "min_k_plus_plus")
+    return _auc(_standard(*document_scores(spark, sf)), "min_k_plus_plus")
 
 
 @query()
 def mia_zlib_auc(spark: SparkSession, sf: str) -> DataFrame:
-    s, _ = _doc_scores(spark, sf)
-    loss = s.groupBy("doc_id").agg((-F.avg("lp_retrain")).alias("loss"))
+    loss = _loss(document_scores(spark, sf)[0]).withColumnRenamed("score", "loss")
     size = documents(spark, sf).select("doc_id", tx.zlib_length("text").alias("n"))
     return _auc(loss.join(size, "doc_id").select("doc_id", (F.col("loss") / F.col("n")).alias("score")), "zlib")
 
@@ -212,8 +222,8 @@ def mia_zlib_auc(spark: SparkSession, sf: str) -> DataFrame:
        ", attack AS (SELECT doc_id, sqrt(greatest(any_value(pp) + sum(pow(c / n, 2) - 2 * exp(lp) * c / n), 0)) AS score FROM d JOIN n USING (doc_id), s GROUP BY doc_id)" + _AUC.format("gradient_norm_closed_form"))
 def mia_gradnorm_auc(spark: SparkSession, sf: str) -> DataFrame:
     """The norm of p_v - count_v / n over the vocabulary: the closed form for a unigram scorer, not a network's gradient."""
-    s, probs = _doc_scores(spark, sf)
-    by_token = s.groupBy("doc_id", "token").agg(F.count("*").alias("c"), F.first("lp_retrain").alias("lp"))
+    s, probs = document_scores(spark, sf)
+    by_token = s.select("doc_id", "token", "c", F.col("lp_retrain").alias("lp"))
     n = by_token.groupBy("doc_id").agg(F.sum("c").alias("n"))
     pp = probs.agg(F.sum(F.exp(2 * F.col("lp_retrain"))).alias("pp"))
     share = F.col("c") / F.col("n")
@@ -221,6 +231,23 @@ def mia_gradnorm_auc(spark: SparkSession, sf: str) -> DataFrame:
     return _auc(each.select("doc_id", F.sqrt(F.greatest(F.col("pp") + F.col("d"), F.lit(0.0))).alias("score")), "gradient_norm_closed_form")
 
 
+_SIDES = "SELECT '{0}' AS attack, round(avg(score) FILTER (doc_id % 10 = 0), 6) AS mean_forget, round(avg(score) FILTER (doc_id % 10 = 1), 6) AS mean_holdout FROM ({1})"
+
+
+@query(f"WITH {DOC_PROBS}, {_MOMENTS}, z AS (SELECT doc_id, pos, (lp_retrain - mu) / sqrt(greatest(sq - mu * mu, 1e-6)) AS z FROM scores, moments) " + " UNION ALL ".join(_SIDES.format(n, f"SELECT doc_id, round(score, 9) AS score FROM ({q})") for n, q in (
+    ("loss", "SELECT doc_id, -avg(lp_retrain) AS score FROM scores GROUP BY doc_id"), ("reference", "SELECT doc_id, avg(lp_reference) - avg(lp_retrain) AS score FROM scores GROUP BY doc_id"),
+    ("min_k", _LOW.format("lp_retrain", "scores")), ("min_k_plus_plus", _LOW.format("z", "z")))))
+def attack_means(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean score of each side under four attacks, all from one table of scores."""
+    s, probs = document_scores(spark, sf)
+    out = None
+    for name, scores in (("loss", _loss(s)), ("reference", _against(s)), ("min_k", metrics.min_k_counted(s, "doc_id", "lp_retrain", SHARE)), ("min_k_plus_plus", _standard(s, probs))):
+        side = [F.round(F.avg(F.when(F.col("label") == k, F.col("score"))), 6).alias(c) for k, c in enumerate(("mean_forget", "mean_holdout"))]
+        one = _marked(scores).agg(*side).select(F.lit(name).alias("attack"), "mean_forget", "mean_holdout")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- statistics -------------------------------------------------------------------------------------------------------
 
 _LAB = "l AS (SELECT n_chars AS s, {0} AS y FROM documents JOIN labels USING (doc_id))"

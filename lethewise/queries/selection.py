@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lethewise import tables
 from lethewise.operators import prep as prep_ops
 from lethewise.operators import ranks, sample, select
 from lethewise.operators.metrics import checked_join
@@ -84,9 +85,7 @@ SELECT vec_id, r <= k AS in_rsub FROM ranked, k"""
 
 @query(_FRACTION)
 def rsub_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _sf(spark, sf)
-    chosen = select.top_k(scored, select.top_fraction_size(0.25, scored.count()), "s_f").select("vec_id", F.lit(True).alias("in_rsub"))
-    return scored.select("vec_id").join(chosen, "vec_id", "left").select("vec_id", F.coalesce("in_rsub", F.lit(False)).alias("in_rsub"))
+    return select.top_share(tables.written(_sf(spark, sf), "scored"), 0.25, "s_f", name="in_rsub").select("vec_id", "in_rsub")
 
 
 @query(f"WITH {_SF}, {_TOP} SELECT vec_id, label FROM embeddings SEMI JOIN top USING (vec_id)")

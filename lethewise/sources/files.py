@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ast
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lethewise.tables import exists
+
 #: Column names and types of the index files.
 RSUB_SCHEMA = "forget_split string, retain_split string, retain_num int, retain_slice_start int, k int, indices array<int>, max_sim array<double>"
 RSUB_VARIANT_SCHEMA = "mode string, forget_split string, retain_split string, retain_num int, retain_slice_start int, k int, encoder string, indices array<int>, s_F array<double>, s_R array<double>, s_F_median_all double"
@@ -65,17 +67,16 @@ def jsonl(spark: SparkSession, path: str, schema: str = AUGMENTATION_SCHEMA) ->
 def qa_items(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Question and answer items; a single perturbed answer becomes a list of one."""
     df = spark.read.schema(QA_SCHEMA).json(path)
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    return df.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")  # in the file's order
 
 
 def metric_log(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """Results of an earlier run; if there are none, an error or, with ``missing_ok``, an empty table."""
-    try:
-        return spark.read.schema(METRIC_ITEMS_SCHEMA).parquet(path)
-    except AnalysisException:
-        if not missing_ok:
-            raise
+    if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], METRIC_ITEMS_SCHEMA)
+    return spark.read.schema(METRIC_ITEMS_SCHEMA).parquet(path)
 
 
 def completions(df: DataFrame, client: Callable[[str], str | None], text: str = "text", to: str = "output", attempts: int = 3, wait: Callable[[float], None] | None = None) -> DataFrame:
@@ -110,10 +111,8 @@ def write_metric(items: DataFrame, path: str) -> None:
 def append_jsonl(rows: DataFrame, path: str, keys: list[str], schema: str = AUGMENTATION_SCHEMA) -> None:
     """Append rows whose keys aren't in the file yet."""
     spark = rows.sparkSession
-    try:
+    if exists(spark, path):
         rows = rows.join(jsonl(spark, path, schema).select(*keys), keys, "left_anti")
-    except AnalysisException:
-        pass  # nothing was written yet
     rows.write.mode("append").json(path)
 
 
@@ -122,8 +121,44 @@ def write_row_csv(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def _object(row: DataFrame, path: str) -> None:
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_index(chosen: DataFrame, path: str, key: str, score: str, about: dict[str, str | int]) -> None:
     """One JSON object: the settings, sorted indices and their scores. The choice is a top-k, small by its nature."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.col(score).alias("s"))))
-    row = chosen.agg(listed.alias("l")).select(*[F.lit(v).alias(k) for k, v in about.items()], F.size("l").alias("k"), F.transform("l", lambda x: x["i"]).alias("indices"), F.transform("l", lambda x: x["s"]).alias("max_sim"))
-    row.coalesce(1).write.mode("overwrite").json(path)
+    _object(chosen.agg(listed.alias("l")).select(*[F.lit(v).alias(k) for k, v in about.items()], F.size("l").alias("k"), F.transform("l", lambda x: x["i"]).alias("indices"), F.transform("l", lambda x: x["s"]).alias("max_sim")), path)
+
+
+def write_variant_index(chosen: DataFrame, path: str, key: str, s_f: str, s_r: str, median: float, about: dict[str, str | int]) -> None:
+    """As ``write_index``, with both scores of each index and the median of the first over all rows."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.col(s_f).alias("f"), F.col(s_r).alias("r"))))
+    both = {"indices": "i", "s_F": "f", "s_R": "r"}
+    _object(chosen.agg(listed.alias("l")).select(*[F.lit(v).alias(k) for k, v in about.items()], F.size("l").alias("k"), *[F.transform("l", lambda x, c=c: x[c]).alias(n) for n, c in both.items()], F.lit(median).alias("s_F_median_all")), path)
+
+
+def write_eval_log(items: DataFrame, path: str, key: str, statistics: list[str]) -> None:
+    """One JSON object of a split: per statistic the list of its values, by item. A log of one split's items, which the
+    readers of such files take whole."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*statistics).alias("_v"))))
+    _object(items.agg(listed.alias("l")).select(*[F.transform("l", lambda x, c=c: x["_v"][c]).alias(c) for c in statistics]), path)
+
+
+def write_metadata(spark: SparkSession, path: str, config: dict, counts: dict[str, DataFrame]) -> None:
+    """One JSON object: a run's settings, and the number of rows of each of its tables."""
+    row = spark.range(1).select(F.lit(json.dumps(config, sort_keys=True)).alias("config"))
+    for name, df in counts.items():
+        row = row.crossJoin(F.broadcast(df.agg(F.count("*").alias(f"n_{name}"))))
+    _object(row, path)
+
+
+def append_result(spark: SparkSession, path: str, result: dict, schema: str) -> None:
+    """Append the row of one configuration to a CSV; what it lacks, as after a failure, is null."""
+    spark.createDataFrame([tuple(result.get(f.name) for f in T.StructType.fromDDL(schema).fields)], schema).coalesce(1).write.mode("append").option("nullValue", "").csv(path, header=True)
+
+
+def write_profile(report: DataFrame, events: DataFrame, path: str) -> None:
+    """A profile's report as CSV, longest total first, and the events that it was made of as JSON lines."""
+    report.orderBy(F.desc("total_s")).coalesce(1).write.mode("overwrite").csv(f"{path}/report", header=True)
+    events.write.mode("overwrite").json(f"{path}/events")

@@ -146,8 +146,9 @@ def test_selection(spark):
     with pytest.raises(ValueError, match="twice|2 times"):
         select.refuse_duplicates(scored.unionByName(scored.limit(1)), "vec_id")
     a, b = (spark.createDataFrame([(i,) for i in v], "item int") for v in ((1, 2), (1, 3)))
-    with pytest.raises(ValueError, match="one side"):
-        metrics.checked_join(a, b, "item")
+    with pytest.raises(Exception, match="one side"):
+        metrics.checked_join(a, b, "item").collect()
+    assert [r.item for r in metrics.checked_join(a, a.unionByName(spark.createDataFrame([(None,)], "item int")), "item").orderBy("item").collect()] == [1, 2]
 
 
 def test_rouge(spark):
