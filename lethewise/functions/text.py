@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +40,54 @@ def instruction(question: Column, start: str = "[INST] ", end: str = " [/INST]")
     return F.concat(F.lit(start), F.trim(question), F.lit(end))
 
 
+def instruction_form(question: Column, answer: Column, prefix: Column, continuation: Column, text: Column, open_turn: bool = False, start: str = "[INST] ", end: str = " [/INST]", answer_tag: str = "") -> Column:
+    """Training text of whatever a row has: question and answer between tags, else prefix and continuation, else the text;
+    an error if it has none. With ``open_turn`` it is what stands before the answer."""
+    asked = F.concat(F.lit(start), F.trim(question), F.lit(end + answer_tag))
+    before = F.concat(F.trim(prefix), F.lit(" "))
+    forms = (F.trim(asked), before, F.lit("")) if open_turn else (F.concat(asked, F.trim(answer)), F.concat(before, continuation), text)
+    wrong = F.raise_error(F.lit("a row has neither question, prefix nor text")).cast("string")
+    return F.when(question.isNotNull(), forms[0]).when(prefix.isNotNull(), forms[1]).when(text.isNotNull(), forms[2]).otherwise(wrong)
+
+
+def choice_prompts(question: Column, choices: Column, **tags: str) -> Column:
+    """One training text for each of an array of answers."""
+    none = F.lit(None).cast("string")
+    return F.transform(choices, lambda c: instruction_form(question, c, none, none, none, **tags))
+
+
+def around_marker(text: Column, marker: str) -> tuple[Column, Column]:
+    """What stands before a marker's first occurrence, and between that and the next; null without one."""
+    parts = F.split(text, "\\Q" + marker + "\\E", -1)
+    return F.get(parts, 0), F.get(parts, 1)
+
+
+def run_stamp(time: Column) -> Column:
+    """The time in the names of runs."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH-mm-ss")
+
+
+#: Tokenizers by name: from a text to an array of tokens, and back.
+TOKENIZERS: dict[str, tuple[Callable[[str | Column], Column], Callable[[Column], Column]]] = {}
+
+
+def tokenizer(name: str, encode: Callable[[str | Column], Column], decode: Callable[[Column], Column]) -> None:
+    """Register a tokenizer, as two functions of columns (an Arrow UDF, where it isn't SQL)."""
+    TOKENIZERS[name] = encode, decode
+
+
+def tokenized(text: str | Column, name: str = "words") -> Column:
+    return TOKENIZERS[name][0](text)
+
+
+def detokenized(tokens: Column, name: str = "words") -> Column:
+    return TOKENIZERS[name][1](tokens)
+
+
+tokenizer("words", words, lambda t: F.array_join(t, " "))
+tokenizer("characters", lambda x: F.split(F.coalesce(_c(x), F.lit("")), ""), lambda t: F.array_join(t, ""))
+
+
 def qa_text(question: Column, answer: Column) -> Column:
     return F.concat(F.lit("Q: "), question, F.lit("\nA: "), answer)
 
@@ -187,6 +235,40 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def rouge1_recall(truth: Column, said: Column) -> Column:
+    """Share of the truth's tokens that are said, each as often as it occurs in both; arrays of tokens."""
+    def times(x: Column, of: Column) -> Column:
+        return F.size(F.filter(of, lambda y: y == x))
+
+    hit = F.aggregate(F.array_distinct(F.array_intersect(truth, said)), F.lit(0), lambda n, x: n + F.least(times(x, truth), times(x, said)))
+    return F.when(F.size(truth) > 0, hit / F.size(truth)).otherwise(0.0)
+
+
+def corpus_bleu(df: DataFrame, truth: str, said: str, order: int = 4) -> DataFrame:
+    """One row: BLEU over the whole table, from clipped counts of n-grams of the ``words`` of either side (n to ``order``)
+    summed over all rows, with the brevity penalty; 0 if some order has no hit."""
+    t, s = words(truth), words(said)
+
+    def grams(tokens: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0)))
+        return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def clipped(a: Column, b: Column) -> Column:
+        def times(x: Column, of: Column) -> Column:
+            return F.size(F.filter(of, lambda y: y == x))
+
+        return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda k, x: k + F.least(times(x, a), times(x, b)))
+
+    each = df.select(t.alias("t"), s.alias("s"))
+    for n in range(1, order + 1):
+        each = each.withColumn(f"t{n}", grams(F.col("t"), n)).withColumn(f"s{n}", grams(F.col("s"), n))
+    total = each.agg(F.sum(F.size("t")).alias("nt"), F.sum(F.size("s")).alias("ns"), *[F.sum(clipped(F.col(f"s{n}"), F.col(f"t{n}"))).alias(f"h{n}") for n in range(1, order + 1)], *[F.sum(F.size(f"s{n}")).alias(f"k{n}") for n in range(1, order + 1)])
+    logs = sum((F.ln(F.col(f"h{n}") / F.col(f"k{n}")) for n in range(1, order + 1)), F.lit(0.0)) / order
+    some = F.least(*[F.col(f"h{n}") for n in range(1, order + 1)]) > 0
+    brevity = F.when(F.col("ns") >= F.col("nt"), 1.0).otherwise(F.exp(1 - F.col("nt") / F.col("ns")))
+    return total.select(F.when(some, brevity * F.exp(logs)).otherwise(0.0).alias("bleu"))
+
+
 def rouge(df: DataFrame, truth: str, said: str, stemmer: bool = False) -> DataFrame:
     """``df`` with rouge1_recall, rougeL_recall and rougeL_f1 of ``said`` against ``truth``, over whole texts."""
     own = [c for c in df.columns if c not in ("rouge1_recall", "rougeL_recall", "rougeL_f1")]

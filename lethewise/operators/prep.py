@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import running_sums
+from lethewise.tables import written
+
+from .ranks import add_row_index, running_sums
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -59,7 +61,8 @@ def corpus_chunks(df: DataFrame, split: str, order: str, tokens: Column, size: i
     No split is ever put together: a running sum of lengths gives every row the place of its first token, each row is cut
     at the places where chunks end, and only the pieces of one chunk meet. View v is moved by size * v / views tokens.
     """
-    rows = df.select(split, order, tokens.alias("_t")).withColumn("_n", F.size("_t").cast("long"))
+    # tokens are made once; what follows reads the narrow columns of this table several times, and the tokens twice
+    rows = written(df.select(split, order, tokens.alias("_t")).withColumn("_n", F.size("_t").cast("long")), "tokens")
     splits = [r[0] for r in rows.select(split).distinct().collect()]
     rows = running_sums(rows, order, {f"_end{k}": F.when(F.col(split) == s, F.col("_n")).otherwise(0) for k, s in enumerate(splits)})
     end = F.coalesce(*[F.when(F.col(split) == s, F.col(f"_end{k}")) for k, s in enumerate(splits)])
@@ -95,3 +98,41 @@ def first_of(df: DataFrame, array: str, to: str) -> DataFrame:
 def set_list(values: Column, n: int) -> Column:
     """The first n distinct values, in sorted order."""
     return F.slice(F.array_sort(F.array_distinct(values)), 1, n)
+
+
+def zipped(a: DataFrame, b: DataFrame, a_order: str, b_order: str) -> DataFrame:
+    """Rows of two frames side by side, by their places in their orders, to the end of the shorter one."""
+    return add_row_index(a, a_order, "_place").join(add_row_index(b, b_order, "_place"), "_place").drop("_place")
+
+
+def with_alternate(df: DataFrame, column: str, alternate: str, to: str = "pair") -> DataFrame:
+    """Each row's own value and that of its alternate column, side by side."""
+    return df.withColumn(to, F.struct(F.col(column).alias("original"), F.col(alternate).alias("alternate")))
+
+
+def dropped_events(log: DataFrame, key: str | None = None, value: str | None = None, loggers: tuple[str, ...] = (), logger: str = "logger") -> DataFrame:
+    """Log records without those whose field has a value, and without those of some loggers."""
+    out = log if key is None else log.where(~F.coalesce(F.col(key) == value, F.lit(False)))
+    return out.where(~F.coalesce(F.col(logger).isin(list(loggers)), F.lit(False))) if loggers else out
+
+
+def joined_texts(df: DataFrame, group: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """Per group, its texts in order as one text. Where groups don't fit a row, use ``corpus_chunks``."""
+    return df.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("x")))), lambda s: s["x"]), separator).alias("text"))
+
+
+def split_sizes(df: DataFrame, split: str, names: list[str]) -> DataFrame:
+    """One row: the number of rows of each named split (columns n_<split>)."""
+    return df.agg(*[F.count(F.when(F.col(split) == n, 1)).alias(f"n_{n}") for n in names])
+
+
+def evaluation_sets(items: DataFrame, perturbed: str = "perturbed_answer") -> DataFrame:
+    """Rows (set, item, question, answer) of the sets that are evaluated: forget and retain items, the first perturbed
+    answer of each, and the paraphrases. ``items`` has split, paraphrased_question and paraphrased_answer as well."""
+    def projected(name: str, rows: DataFrame, question: str, answer: str) -> DataFrame:
+        return rows.select(F.lit(name).alias("set"), "item", F.col(question).alias("question"), F.col(answer).alias("answer"))
+
+    forget = items.where("split = 'forget'")
+    out = projected("forget", forget, "question", "answer").unionByName(projected("retain", items.where("split = 'retain'"), "question", "answer"))
+    first = first_of(forget.drop("answer"), perturbed, "answer")
+    return out.unionByName(projected("perturb", first, "question", "answer")).unionByName(projected("paraphrase", forget, "paraphrased_question", "paraphrased_answer"))

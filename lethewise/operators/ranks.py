@@ -62,6 +62,14 @@ def tail_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return add_row_index(df, key, "_place").where(F.col("_place") >= df.count() - n).drop("_place")
 
 
+def matched_tail(df: DataFrame, key: str, wanted: int, clamp: bool = True) -> DataFrame:
+    """The rows with the largest keys, as many as wanted; with ``clamp`` it is an error to want more than there are,
+    without it all rows come."""
+    if clamp and wanted > df.count():
+        raise ValueError(f"{wanted} rows wanted of fewer")
+    return tail_n(df, key, wanted)
+
+
 def hash_key(seed: int, *keys: str) -> Column:
     """A reproducible random order: the digest of a seed and the key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))

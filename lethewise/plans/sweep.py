@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,18 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
 def profile(events: DataFrame, action: str, seconds: str) -> DataFrame:
     """Per action: calls, mean and total duration."""
     return events.groupBy(action).agg(F.count("*").alias("n_calls"), F.avg(seconds).alias("mean_s"), F.sum(seconds).alias("total_s"))
+
+
+def latex(rows: list[dict], columns: list[str]) -> str:
+    """The report as a LaTeX table."""
+    def plain(v) -> str:
+        return (cell(v) if isinstance(v, float) or v is None else str(v)).replace("—", "--").replace("_", "\\_").replace("%", "\\%").replace("&", "\\&")
+
+    body = [" & ".join(plain(r.get(c)) for c in columns) + " \\\\" for r in rows]
+    head = " & ".join(plain(c) for c in columns) + " \\\\"
+    return "\n".join(["\\begin{tabular}{" + "l" * len(columns) + "}", "\\hline", head, "\\hline", *body, "\\hline", "\\end{tabular}"])
+
+
+def by_column(report: DataFrame, column: str, key: str) -> DataFrame:
+    """The report in falling order of a column (then by key), with each row's place."""
+    return report.orderBy(F.desc(column), key).withColumn("place", F.row_number().over(Window.orderBy(F.desc(column), key)).cast("long"))

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with their DuckDB SQL."""
 
-from . import logit_losses, prep, scores, selection
+from . import logit_losses, more, prep, scores, selection
 
-QUERIES: dict = {**prep.QUERIES, **selection.QUERIES, **scores.QUERIES, **logit_losses.QUERIES}
-ORACLE_SQL: dict = {**prep.ORACLE_SQL, **selection.ORACLE_SQL, **scores.ORACLE_SQL, **logit_losses.ORACLE_SQL}
+QUERIES: dict = {**prep.QUERIES, **selection.QUERIES, **scores.QUERIES, **logit_losses.QUERIES, **more.QUERIES}
+ORACLE_SQL: dict = {**prep.ORACLE_SQL, **selection.ORACLE_SQL, **scores.ORACLE_SQL, **logit_losses.ORACLE_SQL, **more.ORACLE_SQL}

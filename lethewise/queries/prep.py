@@ -171,7 +171,8 @@ SELECT item, round(coalesce(sum(hit) / nullif(sum(an), 0), 0), 6) AS rouge1_reca
 
 @query(_ROUGE1)
 def rouge1_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.rouge(items(spark, sf).select("item", "question", "answer"), "answer", "question").select("item", F.round("rouge1_recall", 6).alias("rouge1_recall"))
+    recall = tx.rouge1_recall(tx.rouge_tokens("answer"), tx.rouge_tokens("question"))
+    return items(spark, sf).select("item", F.round(recall, 6).alias("rouge1_recall"))
 
 
 @query()

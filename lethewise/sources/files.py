@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +121,16 @@ def write_row_csv(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def _each(array: str, *fields: str) -> Column:
+    """One field (of a field) of an array's structs."""
+    def within(x: Column) -> Column:
+        for f in fields:
+            x = x[f]
+        return x
+
+    return F.transform(array, lambda x: within(x))
+
+
 def _object(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
 
@@ -135,14 +145,14 @@ def write_variant_index(chosen: DataFrame, path: str, key: str, s_f: str, s_r: s
     """As ``write_index``, with both scores of each index and the median of the first over all rows."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.col(s_f).alias("f"), F.col(s_r).alias("r"))))
     both = {"indices": "i", "s_F": "f", "s_R": "r"}
-    _object(chosen.agg(listed.alias("l")).select(*[F.lit(v).alias(k) for k, v in about.items()], F.size("l").alias("k"), *[F.transform("l", lambda x, c=c: x[c]).alias(n) for n, c in both.items()], F.lit(median).alias("s_F_median_all")), path)
+    _object(chosen.agg(listed.alias("l")).select(*[F.lit(v).alias(k) for k, v in about.items()], F.size("l").alias("k"), *[_each("l", c).alias(n) for n, c in both.items()], F.lit(median).alias("s_F_median_all")), path)
 
 
 def write_eval_log(items: DataFrame, path: str, key: str, statistics: list[str]) -> None:
     """One JSON object of a split: per statistic the list of its values, by item. A log of one split's items, which the
     readers of such files take whole."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*statistics).alias("_v"))))
-    _object(items.agg(listed.alias("l")).select(*[F.transform("l", lambda x, c=c: x["_v"][c]).alias(c) for c in statistics]), path)
+    _object(items.agg(listed.alias("l")).select(*[_each("l", "_v", c).alias(c) for c in statistics]), path)
 
 
 def write_metadata(spark: SparkSession, path: str, config: dict, counts: dict[str, DataFrame]) -> None:
