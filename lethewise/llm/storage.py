@@ -1,30 +1,16 @@
-"""Tables written between steps, in the folder that all executors share."""
+"""How documents go through an operator: batches of a bounded size, columns apart, tables written between steps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethewise.session import ready
+from lethewise.tables import shared_dir, written
 
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``. Only in local mode, where all is one machine, a temporary folder does
-    where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lethewise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["apart", "beside", "shared_dir", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -50,16 +36,3 @@ def apart(docs: DataFrame, added: list[str], work: Callable[[DataFrame], DataFra
     out = work(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names]))
     taken = {n for _, n in names}
     return out.select(*[F.col(n).alias(c) for c, n in names if n in out.columns and c.lower() not in gone], *[c for c in out.columns if c not in taken])
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and a lost executor costs
-    no more than the step that reads it. Shuffle files of the writing are given up when it has ended."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
