@@ -33,9 +33,10 @@ from . import storage, textbuf
 from .components import components, forest
 from lethewise.operators.joins import lookup
 
-#: Passes over the variants (a power of two); variants in a bucket of the shuffle, on average, and how many a task holds.
+#: Passes over the variants (a power of two); variants in a bucket of the shuffle, on average, how many a task holds, and
+#: how many it makes at once.
 SLICES = 8
-BUCKET, HELD = 1 << 19, 1 << 20
+BUCKET, HELD, MADE = 1 << 19, 1 << 20, 1 << 18
 ADDED = ["_fp", "component_id"]
 
 _PARITY = textbuf.mixed(np.arange(1, 17, dtype=np.uint64))
@@ -188,7 +189,7 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = S
     masks = ball(64, radius // 2, np.uint64)
     of_mask = slice_of(masks, slices)
     mine = [np.flatnonzero(of_mask == k).astype(np.uint16) for k in range(slices)]
-    chunk = max(1, HELD * slices // len(masks))
+    chunk = max(1, MADE * slices // len(masks))
     buckets = max(64, fps.count() * len(masks) // slices // bucket)
 
     def deal(number: int):
@@ -208,7 +209,7 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = S
 
     out = None
     for number in range(slices):
-        dealt = fps.select("_fp").mapInArrow(deal(number), "bucket long, kind int, n long, body binary").repartition(max(16, buckets // 4), "bucket").sortWithinPartitions("bucket", "kind")
+        dealt = fps.select("_fp").mapInArrow(deal(number), "bucket long, kind int, n long, body binary").repartition(max(16, buckets // 2), "bucket").sortWithinPartitions("bucket", "kind")
         found = storage.written(dealt.mapInArrow(lambda batches: _gathered(batches, [np.uint64, np.uint16], _ball_links(masks, radius)), "u long, v long"), "ball")
         out = found if out is None else out.unionByName(found)
     return out

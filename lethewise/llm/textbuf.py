@@ -23,7 +23,9 @@ def _trim() -> Callable[[int], int]:
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a Python worker outlives its task, and several may be idle on an executor."""
+    """Return freed memory to the system, Arrow's too: a Python worker outlives its task, and several may be idle on an
+    executor."""
+    pa.default_memory_pool().release_unused()
     _trim()(0)
 
 
