@@ -3,7 +3,8 @@
 Two fingerprints within ``radius`` bits share a variant that is within half the radius of both. Each distinct fingerprint
 emits all variants within half the radius (2081 for a radius of 4), equal variants meet in a shuffle, and what meets is
 verified. Where several fingerprints meet, the smallest one is linked to each other one (any two of them are within the
-radius), so no group's pairs are enumerated; a task passes on, of its links, only those that connect anything new.
+radius), so no group's pairs are enumerated; for components alone, a task passes on
+only those of its links that connect anything new.
 
 The variants are shuffled in ``SLICES`` passes: a slice is a few parity bits of the variant, and since parities add up, a
 fingerprint's variants in a slice are those differences whose own parities are its parities plus the slice's. Nothing is
@@ -160,7 +161,7 @@ def slice_of(x: np.ndarray, slices: int) -> np.ndarray:
     return out
 
 
-def _ball_links(masks: np.ndarray, radius: int) -> Callable:
+def _ball_links(masks: np.ndarray, radius: int, thin: bool) -> Callable:
     def work(_: int, columns: list[np.ndarray], memory: dict, last: bool):
         key, code = columns
         order = np.argsort(key)
@@ -174,7 +175,9 @@ def _ball_links(masks: np.ndarray, radius: int) -> Callable:
         low = np.minimum.reduceat(fp, start) if len(key) else fp
         star = np.repeat(low, np.diff(np.append(start, len(key))))
         near = np.flatnonzero((fp != star) & (np.bitwise_count(fp ^ star) <= radius))
-        u, v = forest(fp[near], star[near]) if len(near) else (fp[:0], fp[:0])
+        u, v = fp[near], star[near]
+        if len(near):
+            u, v = forest(u, v) if thin else np.unique(np.stack([u, v]), axis=1)
         rows = pa.RecordBatch.from_pydict({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
         if last:
             return rows, []
@@ -184,8 +187,9 @@ def _ball_links(masks: np.ndarray, radius: int) -> Callable:
     return work
 
 
-def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = SLICES) -> DataFrame:
-    """Distinct fingerprints (``_fp``) to links (u, v) between them, enough to connect whatever is within ``radius``."""
+def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = SLICES, thin: bool = True) -> DataFrame:
+    """Distinct fingerprints (``_fp``) to links (u, v) between them, enough to connect whatever is within ``radius``. With
+    ``thin`` they are only good for components; without it, every one is between two that are within the radius."""
     masks = ball(64, radius // 2, np.uint64)
     of_mask = slice_of(masks, slices)
     mine = [np.flatnonzero(of_mask == k).astype(np.uint16) for k in range(slices)]
@@ -210,7 +214,7 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET, slices: int = S
     out = None
     for number in range(slices):
         dealt = fps.select("_fp").mapInArrow(deal(number), "bucket long, kind int, n long, body binary").repartition(max(16, buckets // 2), "bucket").sortWithinPartitions("bucket", "kind")
-        found = storage.written(dealt.mapInArrow(lambda batches: _gathered(batches, [np.uint64, np.uint16], _ball_links(masks, radius)), "u long, v long"), "ball")
+        found = storage.written(dealt.mapInArrow(lambda batches: _gathered(batches, [np.uint64, np.uint16], _ball_links(masks, radius, thin)), "u long, v long"), "ball")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -221,7 +225,7 @@ def print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
     both = storage.written(marked.select("_fp", name).distinct(), "prints")
     low = storage.written(both.groupBy(name).agg(F.min("_fp").alias("_rep"), F.count("*").alias("_k")), "print-groups")
     own = lookup(both, low, name, "_k", both.count()).where("_fp <> _rep").select(F.col("_fp").alias("u"), F.col("_rep").alias("v"))
-    near = links(storage.written(low.select(F.col(name).alias("_fp")), "distinct"), radius)
+    near = links(storage.written(low.select(F.col(name).alias("_fp")), "distinct"), radius, thin=False)
     side = [low.select(F.col(name).alias(c), F.col("_rep").alias(f"_{c}")) for c in ("u", "v")]
     return own.unionByName(near.join(side[0], "u").join(side[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
 

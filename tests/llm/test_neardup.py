@@ -52,3 +52,12 @@ def test_overlap(spark):
     assert kept.columns == ["doc_id", "text"]
     assert {r.doc_id for r in kept.collect()} == {*label, len(texts) + 1}
     assert neardup.keep_one(docs.select("doc_id", "text").where(F.lit(False))).count() == 0
+
+
+def test_sketches_differ_as_sets_do():
+    rng = np.random.default_rng(2)
+    assert neardup.SKETCH_APART == 150
+    for both, low, high in ((534, 60, neardup.SKETCH_APART), (480, 120, 220), (300, 290, 400), (600, 0, 0)):  # overlaps 0.8, 2/3, 1/3, 1
+        x = rng.integers(0, 1 << 63, 1200 - both).astype(np.uint64)
+        apart = int(np.bitwise_count(neardup.sketch(x[:600]) ^ neardup.sketch(np.concatenate([x[:both], x[600:]]))).sum())
+        assert low <= apart <= high
