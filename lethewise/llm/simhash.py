@@ -225,7 +225,8 @@ def print_links(marked: DataFrame, name: str, radius: int) -> DataFrame:
     both = storage.written(marked.select("_fp", name).distinct(), "prints")
     low = storage.written(both.groupBy(name).agg(F.min("_fp").alias("_rep"), F.count("*").alias("_k")), "print-groups")
     own = lookup(both, low, name, "_k", both.count()).where("_fp <> _rep").select(F.col("_fp").alias("u"), F.col("_rep").alias("v"))
-    near = links(storage.written(low.select(F.col(name).alias("_fp")), "distinct"), radius, thin=False)
+    # a pair meets in each of its common variants: once is enough
+    near = storage.written(links(storage.written(low.select(F.col(name).alias("_fp")), "distinct"), radius, thin=False).distinct(), "near")
     side = [low.select(F.col(name).alias(c), F.col("_rep").alias(f"_{c}")) for c in ("u", "v")]
     return own.unionByName(near.join(side[0], "u").join(side[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v"))
 
