@@ -187,13 +187,18 @@ def linked(sets: DataFrame, docs: DataFrame, text: str, width: int, seed: int) -
     rows = storage.written(rest.select("_set").distinct().join(sets.select("_set", "_row"), "_set"), "rest-rows")
     drawn = storage.written(sketches(docs.select("_row", text).join(rows, "_row"), text, width, seed), "sketches")
     rest = storage.written(rest.join(drawn, "_set"), "rest")
-    apart, bits = rest.where("_label <> _main"), [c for c in drawn.columns if c != "_set"]
-    a, b = (d.select("_key", *[F.col(c).alias(f"{c}{n}") for c in ("_set", "_size", "_label", "overlap", *bits)]) for d, n in ((apart, 1), (rest, 2)))
+    # a pair is a row at the smallest key only at which it can be one: each set's keys as the one side and as the other
+    alone, bits = F.col("_label") != F.col("_main"), [c for c in drawn.columns if c != "_set"]
+    keys = rest.groupBy("_set").agg(F.collect_set(F.when(alone, F.col("_key"))).alias("_as1"), F.collect_set("_key").alias("_as2"))
+    rest = storage.written(rest.join(keys, "_set").withColumn("_alone", alone), "rest-keys")
+    a, b = (d.select("_key", *[F.col(c).alias(f"{c}{n}") for c in ("_set", "_size", "_label", "overlap", "_alone", f"_as{n}", *bits)]) for d, n in ((rest.where("_alone"), 1), (rest, 2)))
     might = (
         (F.col("_label1") != F.col("_label2"))
         & (F.abs(F.col("overlap1") - F.col("overlap2")) <= 1 - LEAST[0] / LEAST[1] + 1e-9)
         & (F.least("_size1", "_size2") * LEAST[1] >= F.greatest("_size1", "_size2") * LEAST[0])
         & (sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in bits), F.lit(0)) <= SKETCH_APART)
+        & (~F.col("_alone2") | (F.col("_set1") < F.col("_set2")))
+        & (F.col("_key") == F.array_min(F.array_intersect("_as11", "_as22")))
     )
     second = verified(a.join(b, "_key").where(might).select(F.col("_set1").alias("u"), F.col("_set2").alias("v")), sets, docs, text, width, seed)
     return first.unionByName(second).where("near").select("u", "v")
