@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linerules, pieces, pseudolm, secrets, simhash, storage, warc, wavelet
+from . import chat, decontam, langid, licenses, linerules, pieces, pseudolm, runs, secrets, simhash, storage, warc, wavelet, whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,6 +82,42 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_unseen", "pll", "pll_mean")
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    start = F.transform(F.filter("licence_spans", lambda s: s["base"]), lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(start).cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.col("licence_score").alias("score"),
+    )
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """``docs`` in which every tenth text by the checksum h of its id repeats itself from word g % n on, g = h // 10, with a
+    period of 1 + (words from there on) // (3 + g % 8); its words then stand a space apart. A null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.col("text"), linerules.WHITE + "+"), "")
+    rows = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("_w", F.when(F.col("_g").isNotNull() & F.col("text").isNotNull(), words))
+    n = F.size("_w")
+    rows = rows.withColumn("_a", F.when(n > 0, F.col("_g") % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    moved = F.transform("_w", lambda w, i: F.when(i >= F.col("_a"), F.get("_w", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))).otherwise(w))
+    return rows.withColumn("text", F.when(F.col("_a").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text"))).drop("_g", "_w", "_a", "_p")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_b.s").alias("start"), (-F.col("_b.l")).alias("length"), F.col("_b.p").alias("period"),
+        F.floor(-1000 * F.col("_b.l") / F.col("_b.p")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -156,5 +192,51 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op6_piece_viterbi": op6_piece_viterbi, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball, "op10_pseudo_likelihood": op10_pseudo_likelihood}
-ORACLE_SQL: dict[str, str] = {"op2_line_rules": OP2_SQL, "op3_chat_collapse": OP3_SQL, "op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL}
+
+def _op12_sql() -> str:
+    """The licence index in SQL: postings are joined to word places, votes are counted, phrases and words in place verified."""
+
+    def text(x: str) -> str:
+        return f"'{x}'"
+
+    known = licenses.templates()
+    words = ", ".join(f"({t}, {q}, {text(w)})" for t, x in enumerate(known) for q, w in enumerate(x.words))
+    phrases = ", ".join(f"({t}, {k}, {q}, {len(p)}, {text(' '.join(p))})" for t, x in enumerate(known) for k, (q, p) in enumerate(x.phrases))
+    heads = ", ".join(f"({t}, {text(x.label)}, {x.base}, {x.shift}, {len(x.words)}, {len(x.phrases)})" for t, x in enumerate(known))
+    return rf"""
+WITH tw(t, q, word) AS (VALUES {words}), ph(t, k, q, size, phrase) AS (VALUES {phrases}), te(t, label, base, shift, size, n_phrases) AS (VALUES {heads}
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') AS w FROM documents
+), places AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d
+), ranks AS (
+  SELECT word, row_number() OVER (ORDER BY coalesce(n, 0), word) AS k
+  FROM (SELECT DISTINCT word FROM tw) LEFT JOIN (SELECT word, count(DISTINCT r) AS n FROM places GROUP BY word) USING (word)
+), posted AS (
+  SELECT t, word, k, base FROM (SELECT t, word, k, base, row_number() OVER (PARTITION BY t ORDER BY k) AS p FROM (SELECT DISTINCT t, word FROM tw) JOIN ranks USING (word) JOIN te USING (t))
+  WHERE p <= CASE WHEN base THEN 1 ELSE {licenses.INDEXED} END
+), need AS (SELECT t, least({licenses.MIN_VOTES}, count(*)) AS n FROM posted GROUP BY t
+), held AS (
+  SELECT r, word, row_number() OVER (PARTITION BY r, t ORDER BY k) AS p FROM (SELECT DISTINCT r, word FROM places) JOIN posted USING (word)
+), looked AS (SELECT DISTINCT r, word FROM held WHERE p <= {licenses.LOOKED_UP}
+), votes AS (
+  SELECT r, t, i - q AS o, count(*) AS n FROM looked JOIN places USING (r, word) JOIN (SELECT t, word, q FROM posted JOIN tw USING (t, word)) USING (word) GROUP BY r, t, o
+), met AS (SELECT r, t, o FROM votes JOIN need USING (t) WHERE votes.n >= need.n
+), stood AS (
+  SELECT r, t, o, k FROM met JOIN te USING (t) JOIN ph USING (t) JOIN d USING (r), (SELECT unnest(range(-{licenses.SHIFT}, {licenses.SHIFT} + 1)) AS off) s
+  WHERE abs(off) <= shift AND o + q + off >= 0 AND array_to_string(list_slice(w, o + q + off + 1, o + q + off + ph.size), ' ') = phrase
+), verified AS (SELECT r, t, o FROM stood JOIN te USING (t) GROUP BY r, t, o, n_phrases HAVING count(DISTINCT k) = n_phrases
+), spans AS (
+  SELECT r, t, o, label, base, CASE WHEN base THEN {licenses.PHRASE_SCORE} ELSE count(*) FILTER (o + tw.q >= 0 AND list_extract(w, o + tw.q + 1) = tw.word) / any_value(te.size)::DOUBLE END AS score
+  FROM verified JOIN te USING (t) JOIN tw USING (t) JOIN d USING (r) GROUP BY r, t, o, label, base
+), found AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(o) FILTER (base) AS first_word, max(o) FILTER (base) AS last_word, max(score) AS score,
+    list_sort(list_distinct(list(label) FILTER (base))) AS bases, list_sort(list_distinct(list(label))) AS labels FROM spans GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(bases, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens, "op2_line_rules": op2_line_rules, "op3_chat_collapse": op3_chat_collapse, "op4_warc_segments": op4_warc_segments, "op5_decontaminate": op5_decontaminate, "op6_piece_viterbi": op6_piece_viterbi, "op7_language_id": op7_language_id, "op8_secret_battery": op8_secret_battery, "op9_simhash_ball": op9_simhash_ball, "op10_pseudo_likelihood": op10_pseudo_likelihood, "op11_whitened": op11_whitened, "op12_licence_index": op12_licence_index, "op13_periodic_runs": op13_periodic_runs}
+ORACLE_SQL: dict[str, str] = {"op2_line_rules": OP2_SQL, "op3_chat_collapse": OP3_SQL, "op4_warc_segments": OP4_SQL, "op5_decontaminate": OP5_SQL, "op12_licence_index": _op12_sql()}
