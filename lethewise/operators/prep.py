@@ -58,24 +58,24 @@ def row_chunks(df: DataFrame, tokens: Column, size: int, min_tokens: int = 1) ->
 def corpus_chunks(df: DataFrame, split: str, order: str, tokens: Column, size: int, views: int = 1, min_tokens: int = 1) -> DataFrame:
     """Chunks of whole splits, as if all texts of a split stood end to end in an order.
 
-    No split is ever put together: a running sum of lengths gives every row the place of its first token, each row is cut
-    at the places where chunks end, and only the pieces of one chunk meet. View v is moved by size * v / views tokens.
+    No split is ever put together: a running sum of lengths within each split (of which there may be any number; null is
+    one) gives every row the place of its first token, each row is cut at the places where chunks end, and only the pieces of
+    one chunk meet. View v is moved by size * v / views tokens. Rows of equal order stand in the order of a hash of their tokens.
     """
-    # tokens are made once; what follows reads the narrow columns of this table several times, and the tokens twice
-    rows = written(df.select(split, order, tokens.alias("_t")).withColumn("_n", F.size("_t").cast("long")), "tokens")
-    splits = [r[0] for r in rows.select(split).distinct().collect()]
-    rows = running_sums(rows, order, {f"_end{k}": F.when(F.col(split) == s, F.col("_n")).otherwise(0) for k, s in enumerate(splits)})
-    end = F.coalesce(*[F.when(F.col(split) == s, F.col(f"_end{k}")) for k, s in enumerate(splits)])
-    rows = rows.select(split, "_t", "_n", (end - F.col("_n")).alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view_no"))
-    rows = rows.withColumn("_at", F.col("_at") - F.floor(F.lit(size) * F.col("view_no") / views))
-    rows = rows.where((F.col("_n") > 0) & (F.col("_at") + F.col("_n") > 0))
+    # tokens are made once; places come from a narrow table and are joined back to them
+    rows = written(df.select(F.col(split).alias("split"), F.col(order).alias("order"), tokens.alias("_t"), F.monotonically_increasing_id().alias("_row")), "tokens")
+    sizes = rows.select("split", "order", "_row", F.xxhash64("_t").alias("_same"), F.size("_t").cast("long").alias("_n")).where("_n > 0")
+    placed = running_sums(sizes, "order", {"_end": F.col("_n")}, ["_same", "_row"], within="split")
+    rows = rows.select("_row", "_t").join(placed.select("split", "_row", "_n", (F.col("_end") - F.col("_n")).alias("_at")), "_row")
+    rows = rows.withColumn("view_no", F.explode(F.sequence(F.lit(0), F.lit(views - 1)))) if views > 1 else rows.withColumn("view_no", F.lit(0))
+    rows = rows.withColumn("_at", F.col("_at") - F.floor(F.lit(size) * F.col("view_no") / views)).where(F.col("_at") + F.col("_n") > 0)
     first, last = F.greatest(F.floor(F.col("_at") / size), F.lit(0)), F.floor((F.col("_at") + F.col("_n") - 1) / size)
     rows = rows.withColumn("chunk_idx", F.explode(F.sequence(first, last)))
     a = F.greatest(F.col("chunk_idx") * size - F.col("_at"), F.lit(0))
     b = F.least((F.col("chunk_idx") + 1) * size - F.col("_at"), F.col("_n"))
-    pieces = rows.select(split, "view_no", "chunk_idx", (F.col("_at") + a).alias("at"), F.slice("_t", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
-    whole = pieces.groupBy(split, "view_no", "chunk_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"])).alias("tokens"))
-    return whole.where(F.size("tokens") >= min_tokens)
+    pieces = rows.select("split", "view_no", "chunk_idx", (F.col("_at") + a).alias("at"), F.slice("_t", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    whole = pieces.groupBy("split", "view_no", "chunk_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"])).alias("tokens"))
+    return whole.where(F.size("tokens") >= min_tokens).withColumnRenamed("split", split)
 
 
 def few_shot(items: DataFrame, examples: DataFrame, order: str) -> DataFrame:
