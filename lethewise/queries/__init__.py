@@ -1,6 +1,7 @@
 """Named queries over the driver's tables, with their DuckDB SQL."""
 
-from . import logit_losses, more, prep, scores, selection
+from . import context, logit_losses, more, prep, scores, selection
 
-QUERIES: dict = {**prep.QUERIES, **selection.QUERIES, **scores.QUERIES, **logit_losses.QUERIES, **more.QUERIES}
-ORACLE_SQL: dict = {**prep.ORACLE_SQL, **selection.ORACLE_SQL, **scores.ORACLE_SQL, **logit_losses.ORACLE_SQL, **more.ORACLE_SQL}
+_MODULES = [prep, selection, scores, logit_losses, more, context]
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -208,6 +208,8 @@ _MOMENTS = "moments AS (SELECT sum(exp(lp_retrain) * lp_retrain) AS mu, sum(exp(
 
 @query(f"WITH {DOC_PROBS}, {_MOMENTS}, z AS (SELECT doc_id, pos, (lp_retrain - mu) / sqrt(greatest(sq - mu * mu, 1e-6)) AS z FROM scores, moments), attack AS ({_LOW.format('z', 'z')})" + _AUC.format("min_k_plus_plus"))
 def mia_min_k_pp_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments of a unigram scorer, the same at every place: it ranks as ``mia_min_k_auc`` does. ``mia_min_k_pp_context`` has
+    moments of each context."""
     return _auc(_standard(*document_scores(spark, sf)), "min_k_plus_plus")
 
 
