@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lethewise.queries import ORACLE_SQL, QUERIES
@@ -25,13 +26,14 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, list):
         return tuple(map(plain, v))
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "none"
     return v
 
 
 def rows(df):
-    return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
+    made = (tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    return sorted(made, key=lambda r: [repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else repr(v) for v in r])
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
