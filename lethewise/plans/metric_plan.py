@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -87,3 +88,14 @@ def summary(results: dict[str, DataFrame], names: list[str]) -> DataFrame:
 def with_reference(mine: DataFrame, logged: DataFrame, key: str = "metric") -> DataFrame:
     """Metrics with the value of the same name in a log; null where it has none."""
     return mine.join(logged.select(key, F.col("value").alias("reference")), key, "left")
+
+
+def metric_subset(results: DataFrame, exact: list[str] = (), prefixes: list[str] = (), without: list[str] = (), name: str = "metric") -> DataFrame:
+    """Results whose name is one of ``exact`` or begins with one of ``prefixes`` (all, without either), and has no string of
+    ``without`` in it."""
+    wanted = [F.col(name).isin(list(exact))] if exact else []
+    wanted += [F.col(name).startswith(p) for p in prefixes]
+    out = results.where(reduce(lambda a, b: a | b, wanted)) if wanted else results
+    for part in without:
+        out = out.where(~F.contains(F.col(name), F.lit(part)))
+    return out
