@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from lethewise.functions import stats
 from lethewise.functions import text as tx
 from lethewise.operators import metrics
+from lethewise.operators.classify import Classifier
 
 from .metric_plan import HANDLERS, Metric, Plan, metric
 
@@ -86,10 +87,12 @@ def hm_aggregate(*parts: DataFrame) -> DataFrame:
 
 
 @metric("classifier_prob")
-def classifier_prob(generated: DataFrame, classifier: Callable[[list[str]], list[float]] | None = None) -> DataFrame:
-    """Probability of a class for each generated text, from a classifier that the caller gives."""
+def classifier_prob(generated: DataFrame, classifier: Classifier | Callable[[list[str]], list[float]] | None = None, class_id: int = 0) -> DataFrame:
+    """Probability of a class for each generated text, from a classifier of the engine, or from a function of texts."""
     if classifier is None:
         raise ValueError("this metric needs a classifier")
+    if isinstance(classifier, Classifier):
+        return classifier.probabilities(generated.select("item", "said"), "said", "_prob").select("item", F.get("_prob", class_id).alias("value"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

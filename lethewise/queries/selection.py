@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethewise import tables
-from lethewise.operators import prep as prep_ops
+from lethewise.operators import prep as prep_ops, pruned
 from lethewise.operators import ranks, sample, select
 from lethewise.operators.metrics import checked_join
 
@@ -57,6 +57,14 @@ def self_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return select.similarity(retain, retain, not_self=True).select("vec_id", F.round(F.round("max_sim", 9), 6).alias("max_sim"))
 
 
+@query(f"WITH {_SF}, {_TOP} SELECT vec_id, round(s_f, 6) AS max_sim FROM top ORDER BY vec_id")
+def rsub_topk_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``rsub_topk``, with cells of the forget side that can't hold anything better skipped."""
+    forget, retain = embeddings(spark, sf)
+    found, _ = pruned.top_k_pruned(retain, forget, K)
+    return found.select("vec_id", F.round(F.round("max_sim", 9), 6).alias("max_sim"))
+
+
 @query(f"WITH {_SF}, {_TOP} SELECT vec_id, round(s_f, 6) AS max_sim FROM top ORDER BY vec_id")
 def rsub_topk(spark: SparkSession, sf: str) -> DataFrame:
     return select.top_k(_sf(spark, sf), K, "s_f").select("vec_id", F.round("s_f", 6).alias("max_sim")).orderBy("vec_id")

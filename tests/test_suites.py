@@ -42,6 +42,17 @@ def test_every_instance(spark):
     assert suites.plan(["forget_quality"], given).run()["forget_quality"].first().value is None
 
 
+def test_a_classifier_of_the_engine(spark):
+    from lethewise.operators import classify
+
+    labelled = spark.createDataFrame([("a b c", 0), ("x y z", 1)] * 5, "text string, label int")
+    model = classify.train(labelled, "text", "label", buckets=64, steps=10)
+    said = spark.createDataFrame([(0, "", "a b"), (1, "", "z")], "item int, truth string, said string")
+    found = suites.plan(["forget_gibberish"], {"forget_verbmem.generated": said}, {"forget_gibberish": {"classifier": model, "class_id": 1}}).run()["forget_gibberish"]
+    value = {r["item"]: r.value for r in found.collect()}
+    assert value[0] < 0.5 < value[1]
+
+
 def test_settings_and_layers(spark):
     from lethewise.operators import generation
     from lethewise.plans import config
