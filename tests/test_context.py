@@ -26,7 +26,8 @@ def test_moments_of_a_dense_distribution(spark):
     u = dict(zip(vocabulary, weights / weights.sum(), strict=True))
     counted = spark.createDataFrame(rows, "doc_id int, training boolean, prev string, token string, c int")
     logprobs = spark.createDataFrame([(w, math.log(p)) for w, p in u.items()], "token string, lp double")
-    got = context.standard_scores(counted, "doc_id", logprobs, "lp", F.col("training")).collect()
+    scored = context.pair_scores(counted, logprobs, "lp", F.col("training")).cache()
+    got = context.standard_scores(scored).collect()
     n2 = Counter()
     for _, t, a, b, n in rows:
         n2[a, b] += n if t else 0
@@ -41,6 +42,17 @@ def test_moments_of_a_dense_distribution(spark):
         mu = (p * lp).sum()
         sigma2 = (p * lp * lp).sum() - mu * mu
         assert math.isclose(r.z, (lp[vocabulary.index(r.token)] - mu) / math.sqrt(max(sigma2, 1e-6)), rel_tol=1e-9, abs_tol=1e-9)
+    norms = {r.doc_id: (r.norm_1, r.norm_2) for r in context.gradient_norms(scored, "doc_id").collect()}
+    assert len(norms) == len({r[0] for r in rows})
+    for i, _, w in texts:
+        if len(w) < 2:
+            continue
+        gradient = {a: np.zeros(len(vocabulary)) for a in w[:-1]}  # of the mean loss, to the logits of every context
+        for a, b in zip(w, w[1:], strict=False):
+            gradient[a] += np.array([0.5 * n2[a, v] / n1[a] + 0.5 * u[v] if n1[a] else u[v] for v in vocabulary]) / (len(w) - 1)
+            gradient[a][vocabulary.index(b)] -= 1 / (len(w) - 1)
+        flat = np.concatenate(list(gradient.values()))
+        assert math.isclose(norms[i][0], np.abs(flat).sum(), rel_tol=1e-9) and math.isclose(norms[i][1], math.sqrt((flat**2).sum()), rel_tol=1e-9)
 
 
 def test_pairs_of_short_texts(spark):
