@@ -100,6 +100,17 @@ def ks_pvalue(d: float, n1: int, n2: int, exact_below: int = 10_000) -> float:
     return max(0.0, min(1.0, 1 - math.exp(math.log(row[-1]) + scale - whole)))
 
 
+def memory_columns(forget_prob: Column, forget_rouge: Column, forget_truth: Column, utility: Column, floor: float = 1e-6) -> tuple[Column, Column]:
+    """As ``memory_aggregate``, of columns; null if any part is."""
+
+    def hm(*v: Column) -> Column:
+        return len(v) / sum((1 / F.greatest(x, F.lit(floor)) for x in v[1:]), 1 / F.greatest(v[0], F.lit(floor)))
+
+    whole = forget_prob.isNotNull() & forget_rouge.isNotNull() & forget_truth.isNotNull() & utility.isNotNull()
+    mem = F.when(whole, hm(1 - forget_prob, 1 - forget_rouge, forget_truth))
+    return mem, F.when(whole, hm(mem, utility))
+
+
 def memory_aggregate(forget_prob: float | None, forget_rouge: float | None, forget_truth: float | None, utility: float | None, floor: float = 1e-6) -> tuple[float, float] | None:
     """Harmonic means with floors: of what was forgotten, and of that and the utility; None if any part is missing."""
     if None in (forget_prob, forget_rouge, forget_truth, utility):

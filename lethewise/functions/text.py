@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import let
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -235,13 +237,27 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def common_count(a: Column, b: Column) -> Column:
+    """How many elements two arrays share, each as often as it occurs in both: runs of equal elements of either, sorted
+    together, so that those of one element are neighbours (n log n of the lengths)."""
+
+    def runs(of: Column) -> Column:
+        def cut(s: Column) -> Column:
+            first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+            return let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("x"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))
+
+        return let(F.sort_array(F.filter(of, lambda x: x.isNotNull())), cut)
+
+    def hits(both: Column) -> Column:
+        pairs = F.transform(both, lambda r, i: F.when(F.get(both, i + 1)["x"] == r["x"], F.least(r["n"], F.get(both, i + 1)["n"])).otherwise(0))
+        return F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
+
+    return let(F.sort_array(F.concat(runs(a), runs(b))), hits)
+
+
 def rouge1_recall(truth: Column, said: Column) -> Column:
     """Share of the truth's tokens that are said, each as often as it occurs in both; arrays of tokens."""
-    def times(x: Column, of: Column) -> Column:
-        return F.size(F.filter(of, lambda y: y == x))
-
-    hit = F.aggregate(F.array_distinct(F.array_intersect(truth, said)), F.lit(0), lambda n, x: n + F.least(times(x, truth), times(x, said)))
-    return F.when(F.size(truth) > 0, hit / F.size(truth)).otherwise(0.0)
+    return F.when(F.size(truth) > 0, common_count(truth, said) / F.size(truth)).otherwise(0.0)
 
 
 def corpus_bleu(df: DataFrame, truth: str, said: str, order: int = 4) -> DataFrame:
@@ -253,16 +269,10 @@ def corpus_bleu(df: DataFrame, truth: str, said: str, order: int = 4) -> DataFra
         at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0)))
         return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    def clipped(a: Column, b: Column) -> Column:
-        def times(x: Column, of: Column) -> Column:
-            return F.size(F.filter(of, lambda y: y == x))
-
-        return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda k, x: k + F.least(times(x, a), times(x, b)))
-
     each = df.select(t.alias("t"), s.alias("s"))
     for n in range(1, order + 1):
         each = each.withColumn(f"t{n}", grams(F.col("t"), n)).withColumn(f"s{n}", grams(F.col("s"), n))
-    total = each.agg(F.sum(F.size("t")).alias("nt"), F.sum(F.size("s")).alias("ns"), *[F.sum(clipped(F.col(f"s{n}"), F.col(f"t{n}"))).alias(f"h{n}") for n in range(1, order + 1)], *[F.sum(F.size(f"s{n}")).alias(f"k{n}") for n in range(1, order + 1)])
+    total = each.agg(F.sum(F.size("t")).alias("nt"), F.sum(F.size("s")).alias("ns"), *[F.sum(common_count(F.col(f"s{n}"), F.col(f"t{n}"))).alias(f"h{n}") for n in range(1, order + 1)], *[F.sum(F.size(f"s{n}")).alias(f"k{n}") for n in range(1, order + 1)])
     logs = sum((F.ln(F.col(f"h{n}") / F.col(f"k{n}")) for n in range(1, order + 1)), F.lit(0.0)) / order
     some = F.least(*[F.col(f"h{n}") for n in range(1, order + 1)]) > 0
     brevity = F.when(F.col("ns") >= F.col("nt"), 1.0).otherwise(F.exp(1 - F.col("nt") / F.col("ns")))

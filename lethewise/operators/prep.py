@@ -78,8 +78,10 @@ def corpus_chunks(df: DataFrame, split: str, order: str, tokens: Column, size: i
     return whole.where(F.size("tokens") >= min_tokens).withColumnRenamed("split", split)
 
 
-def few_shot(items: DataFrame, examples: DataFrame, order: str) -> DataFrame:
-    """``items`` with ``shots``, all examples in order: one row, broadcast."""
+def few_shot(items: DataFrame, examples: DataFrame, order: str, most: int = 1000) -> DataFrame:
+    """``items`` with ``shots``, all examples in order: one row, broadcast, of ``most`` examples at most, which is checked."""
+    if examples.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} examples")
     shots = examples.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "question", "answer"))), lambda s: F.struct(s["question"].alias("question"), s["answer"].alias("answer"))).alias("shots"))
     return items.join(F.broadcast(shots))
 

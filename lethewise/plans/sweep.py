@@ -14,6 +14,21 @@ def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, [*axes, "config"])
 
 
+def grid_of(results: DataFrame, axes: list[str], most: int = 1000) -> DataFrame:
+    """All combinations of the values that occur on each axis of a table of results, numbered in their order (``config``);
+    ``most`` values an axis can have at most, which is checked."""
+    out, number = None, F.lit(0).cast("long")
+    for axis in axes:
+        values = results.select(axis).where(F.col(axis).isNotNull()).distinct()
+        n = values.limit(most + 1).count()
+        if n > most:
+            raise ValueError(f"{axis} has over {most} values")
+        own = values.withColumn(f"_{axis}", F.row_number().over(Window.orderBy(axis)) - 1)  # of a checked size
+        out = own if out is None else out.crossJoin(F.broadcast(own))
+        number = number * n + F.col(f"_{axis}")
+    return out.select(*axes, number.alias("config"))
+
+
 def top_results(results: DataFrame, metric: str, n: int = 5, key: str = "config") -> DataFrame:
     """The n best rows; rows without a value take no part."""
     return results.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), key).limit(n)

@@ -378,11 +378,8 @@ def derived_mem_agg(spark: SparkSession, sf: str) -> DataFrame:
 
     d = table(spark, sf, "documents").groupBy("source").agg(share(F.col("lang") == "en").alias("fp"), share(F.col("lang") == "de").alias("fr"), share(F.col("lang") == "fr").alias("ft"), share(F.col("lang") != "es").alias("u"))
 
-    def inverse(c):
-        return 1 / F.greatest(c, F.lit(1e-6))
-
-    mem = 3 / (inverse(1 - F.col("fp")) + inverse(1 - F.col("fr")) + inverse(F.col("ft")))
-    return d.withColumn("m", mem).select("source", _r("m", "mem"), F.round(2 / (inverse(F.col("m")) + inverse(F.col("u"))), 6).alias("agg"))
+    mem, agg = stats.memory_columns(*[F.col(c) for c in ("fp", "fr", "ft", "u")])
+    return d.select("source", F.round(mem, 6).alias("mem"), F.round(agg, 6).alias("agg"))
 
 
 @query("SELECT source AS config, round(avg(n_chars), 6) AS fq FROM documents GROUP BY source HAVING avg(n_chars) IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 5")

@@ -183,12 +183,14 @@ def few_shot(spark: SparkSession, sf: str) -> DataFrame:
     return prep_ops.few_shot(it, ranks.head_n(it, "item", 3), "item").select("item", F.size("shots").cast("long").alias("n_shots"), chars.cast("long").alias("shot_chars"))
 
 
-@query("""SELECT a2, w1, w2, f, CAST(row_number() OVER (ORDER BY a2, w1, w2, f) - 1 AS BIGINT) AS config FROM (SELECT unnest([2, 4, 6, 8]) AS a2), (SELECT unnest([-1.0::DOUBLE, -0.8::DOUBLE, -0.5::DOUBLE]) AS w1),
-(SELECT unnest([0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE, 1.0::DOUBLE]) AS w2), (SELECT unnest([0.01::DOUBLE]) AS f)""")
+@query("""SELECT a2, w1, w2, CAST(row_number() OVER (ORDER BY a2, w1, w2) - 1 AS BIGINT) AS config FROM (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS a2 FROM lineitem),
+(SELECT DISTINCT -CAST(l_discount AS DOUBLE) AS w1 FROM lineitem), (SELECT DISTINCT CAST(l_tax AS DOUBLE) AS w2 FROM lineitem)""")
 def weight_grid(spark: SparkSession, sf: str) -> DataFrame:
-    from lethewise.plans.sweep import grid
+    """All combinations of the settings that a table of runs has on its axes (line items stand for runs)."""
+    from lethewise.plans.sweep import grid_of
 
-    return grid(spark, {"a2": [2, 4, 6, 8], "w1": [-1.0, -0.8, -0.5], "w2": [0.4, 0.6, 0.8, 1.0], "f": [0.01]})
+    runs = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("a2"), (-F.col("l_discount").cast("double")).alias("w1"), F.col("l_tax").cast("double").alias("w2"))
+    return grid_of(runs, ["a2", "w1", "w2"])
 
 
 @query("""SELECT source AS metric, round(avg(n_chars), 6) AS value, CASE WHEN source IN (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) THEN 1.0::DOUBLE END AS reference FROM documents GROUP BY source""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files
+from . import files, metric_logs
 
 HANDLERS: dict[str, Callable[..., DataFrame]] = {
     "parquet": lambda spark, path, **_: spark.read.parquet(path),
@@ -17,6 +17,7 @@ HANDLERS: dict[str, Callable[..., DataFrame]] = {
     "json": files.json_document,
     "jsonl": files.jsonl,
     "metric_log": files.metric_log,
+    "metric_log_json": metric_logs.read_items,
 }
 
 

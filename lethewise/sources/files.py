@@ -148,11 +148,33 @@ def write_variant_index(chosen: DataFrame, path: str, key: str, s_f: str, s_r: s
     _object(chosen.agg(listed.alias("l")).select(*[F.lit(v).alias(k) for k, v in about.items()], F.size("l").alias("k"), *[_each("l", c).alias(n) for n, c in both.items()], F.lit(median).alias("s_F_median_all")), path)
 
 
+#: Items whose statistics go to one document of an evaluation log; more make several documents, in the items' order.
+LOG_ITEMS = 1_000_000
+
+
 def write_eval_log(items: DataFrame, path: str, key: str, statistics: list[str]) -> None:
-    """One JSON object of a split: per statistic the list of its values, by item. A log of one split's items, which the
-    readers of such files take whole."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*statistics).alias("_v"))))
-    _object(items.agg(listed.alias("l")).select(*[_each("l", "_v", c).alias(c) for c in statistics]), path)
+    """One JSON object of a split: per statistic the list of its values, by item. Each statistic's values are streamed in order,
+    and none is put together in a row; over ``LOG_ITEMS`` items make several objects, a range of items each."""
+    n = max(1, -(-items.count() // LOG_ITEMS))
+    ranged = items.select(F.col(key).alias("_k"), *statistics).repartitionByRange(n, "_k") if n > 1 else items.select(F.col(key).alias("_k"), *statistics).coalesce(1)
+    raw = [F.struct(F.lit(k).alias("_s"), F.coalesce(F.get_json_object(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), "$.v"), F.lit("null")).alias("_v")) for k, c in enumerate(statistics)]
+    long = ranged.select("_k", F.inline(F.array(*raw))).sortWithinPartitions("_s", "_k")
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = None
+        for f in frames:
+            out = []
+            for s, v in zip(f["_s"], f["_v"], strict=True):
+                if s != at:
+                    out.append(("{" if at is None else "],") + json.dumps(statistics[s]) + ": [" + v)
+                    at = s
+                else:
+                    out.append("," + v)
+            yield pd.DataFrame({"value": out})
+        if at is not None:
+            yield pd.DataFrame({"value": ["]}"]})
+
+    long.select("_s", "_v").mapInPandas(lines, "value string").write.mode("overwrite").text(path)
 
 
 def write_metadata(spark: SparkSession, path: str, config: dict, counts: dict[str, DataFrame]) -> None:

@@ -80,13 +80,27 @@ def _json(path):
     return [json.loads(x) for f in glob.glob(f"{path}/part-*") for x in open(f, encoding="utf-8").read().splitlines()]
 
 
-def test_more_sinks(spark, tmp_path):
+def _whole(path):
+    return [json.loads(open(f, encoding="utf-8").read()) for f in sorted(glob.glob(f"{path}/part-*"))]
+
+
+def test_more_sinks(spark, tmp_path, monkeypatch):
     chosen = spark.createDataFrame([(5, 0.5, 0.1), (2, 0.9, 0.2)], "vec_id int, s_f double, s_r double")
     files.write_variant_index(chosen, f"{tmp_path}/v", "vec_id", "s_f", "s_r", 0.4, {"mode": "retain", "encoder": "e"})
     assert _json(f"{tmp_path}/v") == [{"mode": "retain", "encoder": "e", "k": 2, "indices": [2, 5], "s_F": [0.9, 0.5], "s_R": [0.2, 0.1], "s_F_median_all": 0.4}]
     assert files.json_document(spark, f"{tmp_path}/v", files.RSUB_VARIANT_SCHEMA).first().s_R == [0.2, 0.1]
     files.write_eval_log(spark.createDataFrame([(1, 0.5, 7), (0, 0.25, 3)], "item int, gt_loss double, num_token_gt int"), f"{tmp_path}/log", "item", ["gt_loss", "num_token_gt"])
-    assert _json(f"{tmp_path}/log") == [{"gt_loss": [0.25, 0.5], "num_token_gt": [3, 7]}]
+    assert _whole(f"{tmp_path}/log") == [{"gt_loss": [0.25, 0.5], "num_token_gt": [3, 7]}]
+    monkeypatch.setattr(files, "LOG_ITEMS", 40)
+    many = spark.range(100).select(F.col("id").alias("item"), F.when(F.col("id") != 50, F.col("id") / 4).alias("loss"), (F.col("id") * 2).alias("n")).repartition(5)
+    files.write_eval_log(many, f"{tmp_path}/many", "item", ["loss", "n"])
+    parts = _whole(f"{tmp_path}/many")
+    assert len(parts) == 3 and [x for p in parts for x in p["n"]] == [2 * i for i in range(100)]
+    assert [x for p in parts for x in p["loss"]] == [i / 4 if i != 50 else None for i in range(100)]
+    files.write_row_csv(spark.createDataFrame([(0.5, None, "a,b")], "x double, y double, z string"), f"{tmp_path}/row")
+    files.write_row_csv(spark.createDataFrame([(0.75, 1.0, 'say "x"')], "x double, y double, z string"), f"{tmp_path}/row")  # in place of the first
+    assert [tuple(r) for r in spark.read.schema("x double, y double, z string").csv(f"{tmp_path}/row", header=True).collect()] == [(0.75, 1.0, 'say "x"')]
+    assert len(glob.glob(f"{tmp_path}/row/part-*.csv")) == 1
     files.write_metadata(spark, f"{tmp_path}/meta", {"lr": 1e-3, "name": "a"}, {"forget": chosen, "retain": chosen.limit(0)})
     assert _json(f"{tmp_path}/meta") == [{"config": '{"lr": 0.001, "name": "a"}', "n_forget": 2, "n_retain": 0}]
     schema = "tag string, w1 double, FQ double, MU double"

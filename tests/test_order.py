@@ -52,3 +52,24 @@ def test_chunks_lose_no_row(spark):
             if views == 3 and len(want) > 5:
                 moved = [x for r in sorted((r for r in got if r.part == part and r.view_no == 1), key=lambda r: r.chunk_idx) for x in r.tokens]
                 assert moved == flat[5:]
+
+
+def test_common_count_against_counters(spark):
+    from collections import Counter
+
+    rng = random.Random(9)
+    rows = [([rng.choice("abcdef") for _ in range(rng.randrange(30))], [rng.choice("abcxyz") for _ in range(rng.randrange(30))]) for _ in range(60)] + [([], []), (["a"] * 2000, ["a"] * 1500 + ["b"])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(tx.common_count(F.col("a"), F.col("b")).alias("n"), "a", "b").collect()
+    assert all(r.n == sum((Counter(r.a) & Counter(r.b)).values()) for r in got) and len(got) == 62
+
+
+def test_a_grid_of_what_occurs(spark):
+    import pytest
+
+    from lethewise.plans.sweep import grid_of
+
+    runs = spark.createDataFrame([(2, -0.5, "a"), (4, -1.0, "a"), (2, None, "b")], "epoch int, w double, tag string")
+    got = grid_of(runs, ["epoch", "w"]).orderBy("config").collect()
+    assert [tuple(r) for r in got] == [(2, -1.0, 0), (2, -0.5, 1), (4, -1.0, 2), (4, -0.5, 3)]
+    with pytest.raises(ValueError, match="over 1"):
+        grid_of(runs, ["epoch"], most=1)
