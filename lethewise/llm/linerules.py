@@ -13,7 +13,8 @@ Rules for a line (blank lines are never taken out):
 
 Defined results: a null text has no words or lines and is rejected; an empty table gives no rows; repeated rows each get
 a row; a text counts whole, however long it is. (Windows are compared by 64-bit hashes within one text; two of 20,000
-different windows collide with a chance of about 1e-11.) Columns of the input are kept; the added ones are ``MEASURES``.
+different windows collide with a chance of about 1e-11.) Columns of the input are kept; the added ones are ``MEASURES``
+(columns of the input named as one of those, in any case of letters, give way, but for the text).
 """
 
 from __future__ import annotations
@@ -61,8 +62,12 @@ def line_fails(m: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of MEASURES."""
-    own = [c for c in docs.columns if c not in MEASURES and not c.startswith("_q_")]
-    t = F.coalesce(F.col(text), F.lit(""))
+    return storage.apart(docs, MEASURES, _measured, _text=text)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    own = docs.columns
+    t = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(*own, t.alias("_q_t"))
     rows = rows.withColumn("_q_w", F.array_remove(F.split("_q_t", WHITE + "+"), "")).withColumn("_q_l", F.split("_q_t", "\n"))
     n = F.size("_q_w")

@@ -20,7 +20,7 @@ apart; then, in each round, every part learns from its slice of that round, and
 words. All words of all documents are learned from.
 
 p(word | unit), for words of the tail, is the word's share of its unit's mass in the *other* documents, smoothed by
-``ALPHA``: the document's own occurrences are taken off. (Document, tail word) pairs, already summed per document, meet
+``ALPHA``: the document's own occurrences are taken off the word's and off the unit's, so the shares of a unit's words sum to one. (Document, tail word) pairs, already summed per document, meet
 the vocabulary in a shuffle; no tail word makes up more than a ``HEAD``-th of all words. ``n_unseen`` counts the words of
 a text that occur in no other.
 
@@ -436,9 +436,12 @@ def _scored(packed: DataFrame, network: Network) -> DataFrame:
 def _tail_scores(coded: DataFrame, words: DataFrame, tail: np.ndarray) -> DataFrame:
     """(_key, lt, unseen): what the words of the tail add to each text's sum, and how many occur in no other text."""
     pairs = coded.where(F.size("_tail") > 0).select("_key", F.explode("_tail").alias("t")).select("_key", "t.word", "t.k")
-    mass = F.get(F.array(*[F.lit(float(n + ALPHA * k)) for n, k in tail]), F.pmod("word", F.lit(TAIL)).cast("int"))
-    met = pairs.join(words, "word").select("_key", "k", (F.col("n") - F.col("k")).alias("others"), mass.alias("mass"))
-    return met.groupBy("_key").agg(F.sum(F.col("k") * F.log((F.col("others") + ALPHA) / F.col("mass"))).alias("lt"), F.sum(F.when(F.col("others") == 0, F.col("k")).otherwise(0)).alias("unseen"))
+    unit = F.pmod("word", F.lit(TAIL)).cast("int").alias("unit")
+    met = pairs.join(words, "word").select("_key", "k", (F.col("n") - F.col("k")).alias("others"), unit)
+    # one shuffle by text serves both sums: a text's words of a unit, then its units
+    shares = met.repartition("_key").groupBy("_key", "unit").agg(F.sum(F.col("k") * F.log(F.col("others") + ALPHA)).alias("up"), F.sum("k").alias("own"), F.sum(F.when(F.col("others") == 0, F.col("k")).otherwise(0)).alias("unseen"))
+    mass = F.get(F.array(*[F.lit(float(n + ALPHA * k)) for n, k in tail]), F.col("unit"))
+    return shares.groupBy("_key").agg(F.sum(F.col("up") - F.col("own") * F.log(mass - F.col("own"))).alias("lt"), F.sum("unseen").alias("unseen"))
 
 
 def pseudo_likelihood(docs: DataFrame, text: str = "text", head: int = HEAD, part_words: int = PART_WORDS) -> DataFrame:
