@@ -1,5 +1,6 @@
 """Rules, chats, archives, decontamination, secrets, languages, near-duplicates and scores on small tables."""
 
+import gzip
 import os
 import random
 import re
@@ -38,6 +39,15 @@ def test_line_rules(spark):
     assert linerules.measure(docs.limit(0)).count() == 0
 
 
+def test_line_rules_keep_columns_apart(spark):
+    docs = spark.createDataFrame(EDGES, SCHEMA).selectExpr("*", "1 as N_WORDS", "true as Kept", "5 as _q_mine", "6 as _text")
+    got = linerules.measure(docs)
+    assert got.columns == ["doc_id", "text", "_q_mine", "_text", *linerules.MEASURES]
+    rows = got.collect()
+    assert sorted(r.n_words for r in rows) == [0, 0, 0, 1, 2, 3, 3] and {(r._q_mine, r._text) for r in rows} == {(5, 6)}
+    assert sorted(map(str, (r.text for r in rows))) == sorted(str(t) for _, t in EDGES)
+
+
 def test_repeated_windows_against_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices("abcde", k=rng.randint(0, 60)))) for i in range(150)]
@@ -104,6 +114,27 @@ def test_broken_archives():
         list(warc.parse(b"nonsense"))
 
 
+def test_archives_in_pieces():
+    made = [warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"r{i}")], bytes([i]) * size) for i, size in enumerate((0, 1, 5000, 17, 70_000))]
+    whole = [(head["warc-record-id"], block) for _, head, block in warc.parse(b"".join(made))]
+    assert whole == [(f"r{i}", bytes([i]) * size) for i, size in enumerate((0, 1, 5000, 17, 70_000))]
+    data = b"".join(made)
+    for size in (1, 7, 4096):
+        assert [(h["warc-record-id"], b) for _, h, b in warc.parse(data[i : i + size] for i in range(0, len(data), size))] == whole
+    for packed in (gzip.compress(data), b"".join(map(gzip.compress, made))):
+        assert [(h["warc-record-id"], b) for _, h, b in warc.parse(warc.unpacked(packed))] == whole
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.unpacked(gzip.compress(data)[:-9]))
+    with pytest.raises(ValueError, match="length says"):
+        list(warc.parse(data[:-3]))
+
+
+def test_revisits_name_their_target():
+    (made,) = warc._page_records("p", 1, "u1", b"x", "00" * 20, 3, "http://three\r\nX: y", 1000)
+    ((_, head, _),) = warc.parse(made)
+    assert head["warc-refers-to-target-uri"] == "http://three X: y" and head["x-refers-to-page"] == "3" and head["warc-refers-to-date"]
+
+
 def test_a_missing_segment_is_told(spark):
     pages = spark.createDataFrame([(1, "u", "y" * 20_000), (2, "u", "z" * 20_000)], "page_id long, url string, html string")
     path, lacking = storage.shared_dir(spark, "warc"), storage.shared_dir(spark, "warc")

@@ -111,3 +111,22 @@ def test_tasks_do_not_matter_and_unseen_words_are_counted(spark):
     assert pseudolm.pseudo_likelihood(docs.where("doc_id between 501 and 503")).agg(F.sum("pll")).first()[0] == 0
     flat = pa.array(["A b", None, "c"])
     assert pseudolm.words_of(flat)[1].tolist() == [0, 0, 2]
+
+
+def test_shares_of_rare_words_are_those_of_other_documents(spark):
+    rng = random.Random(4)
+    ids = [u + pseudolm.TAIL * j for u in (0, 3, 200) for j in range(5)]
+    texts = {k: Counter(rng.choices(ids, k=30)) for k in range(9)}
+    total = sum(texts.values(), Counter())
+    tail = np.zeros((pseudolm.TAIL, 2))
+    for w, n in total.items():
+        tail[w % pseudolm.TAIL] += (n, 1)
+    coded = spark.createDataFrame([(k, [(w, n) for w, n in c.items()]) for k, c in texts.items()] + [(99, [])], "_key long, _tail array<struct<word:long,k:long>>")
+    words = spark.createDataFrame([(w, n) for w, n in total.items()], "word long, n long")
+    got = {r._key: r for r in pseudolm._tail_scores(coded, words, tail).collect()}
+    assert set(got) == set(texts)
+    for k, own in texts.items():
+        others = {w: n - own[w] for w, n in total.items()}
+        share = {w: (n + pseudolm.ALPHA) / sum(m + pseudolm.ALPHA for v, m in others.items() if v % pseudolm.TAIL == w % pseudolm.TAIL) for w, n in others.items()}
+        assert got[k].lt == pytest.approx(sum(n * np.log(share[w]) for w, n in own.items()))
+        assert got[k].unseen == sum(n for w, n in own.items() if not others[w])
