@@ -144,14 +144,16 @@ class Network:
 
     def __init__(self, units: Units, weights: np.ndarray | None = None, classes: int = CLASSES, topics: int = TOPICS, width: int = WIDTH, seed: int = 11):
         n = len(units.class_of)
-        shapes = [(n + 1, width), (n + 1, width), (width, classes), (classes,), (width, topics), (topics,), (n, topics)]
+        shapes = [(2 * (n + 1), width), (width, classes + topics), (classes + topics,), (n, topics)]
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         fresh = weights is None
         self.units, self.weights = units, np.zeros(ends[-1], np.float32) if fresh else weights
-        self.left, self.right, self.linear, self.bias, self.mixer, self.mixer_bias, self.counts = (w.reshape(s) for w, s in zip(np.split(self.weights, ends[:-1]), shapes, strict=True))  # views
-        order = np.argsort(units.class_of, kind="stable")
-        first = np.flatnonzero(np.diff(units.class_of[order], prepend=-1))
-        self._order, self._first, self._of = order, first, np.cumsum(np.diff(units.class_of[order], prepend=-1) > 0) - 1
+        self._near, self._both, self._biases, self.counts = (w.reshape(s) for w, s in zip(np.split(self.weights, ends[:-1]), shapes, strict=True))  # views
+        self.left, self.right = self._near[: n + 1], self._near[n + 1 :]
+        self.linear, self.mixer = self._both[:, :classes], self._both[:, classes:]
+        self.bias, self.mixer_bias = self._biases[:classes], self._biases[classes:]
+        self._order = np.argsort(units.class_of, kind="stable")
+        self._ends = np.searchsorted(units.class_of[self._order], np.arange(classes + 1))
         if fresh:
             rng = np.random.default_rng(seed)
             self.left[:], self.right[:] = (rng.standard_normal((2, n + 1, width)) * 0.3).astype(np.float32)
@@ -163,58 +165,94 @@ class Network:
 
     def retable(self, counts: np.ndarray) -> None:
         """p(unit | class, topic) from expected counts; the unit's overall share keeps each above zero."""
-        mass = np.empty_like(counts)
-        mass[self._order] = np.add.reduceat(counts[self._order], self._first, axis=0)[self._of]
-        self.table = (1 - FLOOR) * counts / np.maximum(mass, 1e-30) + FLOOR * self.units.share[:, None]
-
-    def hidden(self, near: list[np.ndarray]) -> np.ndarray:
-        a, b, c, d = near
+        by_class = counts.take(self._order, 0)
+        mass = np.array([by_class[i:j].sum(0) for i, j in zip(self._ends[:-1], self._ends[1:], strict=True)], np.float32)
+        self.table = (np.float32(1 - FLOOR) / np.maximum(mass, np.float32(1e-30))).take(self.units.class_of, 0)
+        self.table *= counts
+        self.table += np.float32(FLOOR) * self.units.share[:, None]
+
+    def _rows(self, near: list[np.ndarray]) -> np.ndarray:
+        """Rows of ``_near``: those of ``left`` for the neighbours on the left, then those of ``right``."""
+        rows = np.array(near, np.intp)
+        rows[2:] += len(self.left)
+        return rows
+
+    def _hidden(self, rows: np.ndarray) -> np.ndarray:
         one, two = (np.float32(r) for r in REACH)
-        return np.tanh(one * self.left[a] + two * self.left[b] + one * self.right[c] + two * self.right[d])
-
-    def _parts(self, near: list[np.ndarray], unit: np.ndarray):
-        h = self.hidden(near)
-        p, q = h @ self.linear + self.bias, h @ self.mixer + self.mixer_bias
-        for x in (p, q):
-            np.exp(x - x.max(1, keepdims=True), out=x)
-            x /= x.sum(1, keepdims=True)
-        return h, p, q, q * self.table[unit]
+        h, far = self._near.take(rows[0], 0), self._near.take(rows[1], 0)
+        h += self._near.take(rows[2], 0)
+        far += self._near.take(rows[3], 0)
+        h *= one
+        far *= two
+        h += far
+        return np.tanh(h, out=h)
+
+    def _exponentials(self, h: np.ndarray, room: np.ndarray | None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Numerators of the class softmax and of the topic softmax, a column per word (in ``room``, if it has as many
+        columns), and the logarithms of those at the cells ``at``; the sum of a column is the denominator."""
+        x = np.matmul(self._both.T, h.T, out=room if room is not None and room.shape[1] == len(h) else None)
+        x += self._biases[:, None]
+        if not (np.abs(self._both).sum(0) + np.abs(self._biases)).max() < 60:  # else exp can't overflow, as |h| <= 1
+            for part in (x[: len(self.bias)], x[len(self.bias) :]):
+                part -= part.max(0)
+        logs = None if at is None else x.reshape(-1).take(at)
+        np.exp(x, out=x)
+        return x[: len(self.bias)], x[len(self.bias) :], logs
+
+    def _cells(self, unit: np.ndarray) -> np.ndarray:
+        """The place of every word's class, a column per word."""
+        at = self.units.class_of.take(unit).astype(np.intp)
+        at *= len(unit)
+        at += np.arange(len(unit))
+        return at
 
     def log_probability(self, near: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
         """log p(unit | both sides) of every word."""
-        out = np.empty(len(unit), np.float64)
-        for i in range(0, len(unit), 4 * STEP_WORDS):
-            u = unit[i : i + 4 * STEP_WORDS]
-            _, p, _, joint = self._parts([k[i : i + 4 * STEP_WORDS] for k in near], u)
-            out[i : i + 4 * STEP_WORDS] = np.log(np.maximum(p[np.arange(len(u)), self.units.class_of[u]], 1e-30)) + np.log(np.maximum(joint.sum(1), 1e-30))
+        out, room = np.empty(len(unit), np.float64), np.empty((len(self._biases), STEP_WORDS), np.float32)
+        for i in range(0, len(unit), STEP_WORDS):
+            u = unit[i : i + STEP_WORDS]
+            p, q, own = self._exponentials(self._hidden(self._rows([k[i : i + STEP_WORDS] for k in near])), room, self._cells(u))
+            joint = np.multiply(self.table.take(u, 0).T, q, order="C").sum(0) / q.sum(0)
+            out[i : i + STEP_WORDS] = np.maximum(own - np.log(p.sum(0, np.float64)), np.log(1e-30)) + np.log(np.maximum(joint, 1e-30))
         return out
 
     def slopes(self, near: list[np.ndarray], unit: np.ndarray):
         """Slopes of -log p, word by word: at the class softmax, the topic softmax and the hidden sums; the hidden vectors
         and the topics' shares in each word."""
-        h, p, q, share = self._parts(near, unit)
-        share /= np.maximum(share.sum(1, keepdims=True), np.float32(1e-30))
-        p[np.arange(len(unit)), self.units.class_of[unit]] -= 1
+        p, q, back, h, share = self._slopes(self._rows(near), unit, np.empty((len(self._biases), len(unit)), np.float32))
+        return p.T, q.T, back, h, share.T
+
+    def _slopes(self, rows: np.ndarray, unit: np.ndarray, room: np.ndarray):
+        """``slopes``, with a column per word but at the hidden sums and in the hidden vectors; those at the softmaxes are
+        in ``room``, which has a column per word."""
+        h = self._hidden(rows)
+        p, q, _ = self._exponentials(h, room)
+        p /= p.sum(0)
+        q /= q.sum(0)
+        share = np.multiply(self.table.take(unit, 0).T, q, order="C")
+        share /= np.maximum(share.sum(0), np.float32(1e-30))
+        room.reshape(-1)[self._cells(unit)] -= 1
         q -= share
-        return p, q, (p @ self.linear.T + q @ self.mixer.T) * (1 - h * h), h, share
+        back = room.T @ self._both.T
+        back *= 1 - h * h
+        return p, q, back, h, share
 
     def learn(self, near: list[np.ndarray], unit: np.ndarray, rate: float = RATE) -> None:
         """Steps of gradient descent over all words, in order; a row of an embedding moves by its mean slope. The tables
         follow the expected counts, which replace ``counts`` in the end (as shares of all words)."""
-        one, two = (np.float32(r) for r in REACH)
         start, seen, since = self.counts * np.float32(START_WORDS), np.zeros_like(self.counts), 0
+        reach = np.float32(-rate) * np.array([REACH * 2], np.float32).T
+        x = np.empty((len(self._biases), STEP_WORDS), np.float32)
         for i in range(0, len(unit), STEP_WORDS):
-            now, u = [k[i : i + STEP_WORDS] for k in near], unit[i : i + STEP_WORDS]
-            p, q, back, h, share = self.slopes(now, u)
-            rows, sums, _ = _by_row(u, share)
-            seen[rows] += sums
-            self.linear -= np.float32(rate / len(u)) * (h.T @ p)
-            self.bias -= np.float32(rate) * p.mean(0)
-            self.mixer -= np.float32(rate / len(u)) * (h.T @ q)
-            self.mixer_bias -= np.float32(rate) * q.mean(0)
-            for table, (x, y) in ((self.left, now[:2]), (self.right, now[2:])):
-                rows, sums, n = _by_row(np.concatenate([x, y]), np.concatenate([one * back, two * back]))
-                table[rows] -= np.float32(rate) * sums / n[:, None].astype(np.float32)
+            rows, u = self._rows([k[i : i + STEP_WORDS] for k in near]), unit[i : i + STEP_WORDS]
+            x = x if len(u) == STEP_WORDS else np.empty((len(x), len(u)), np.float32)
+            _, _, back, h, share = self._slopes(rows, u, x)
+            _add_rows(seen, u, share.T)
+            self._both -= np.float32(rate / len(u)) * (x @ h).T
+            self._biases -= np.float32(rate / len(u)) * x.sum(1)
+            rows = rows.ravel()
+            n = np.bincount(rows, minlength=len(self._near)).take(rows).astype(np.float32).reshape(len(reach), -1)
+            _add_rows(self._near, rows, (reach / n)[:, :, None] * back)
             since += len(u)
             if since >= TABLE_WORDS:
                 since = 0
@@ -224,12 +262,14 @@ class Network:
             self.retable(start + seen)
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of their values, and their numbers."""
-    order = np.argsort(rows.astype(np.uint16) if int(rows.max(initial=0)) < 1 << 16 else rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each row of ``values`` to its row of a contiguous table; rows may repeat. Two numbers go as one complex number."""
+    kind = np.complex64 if table.shape[1] % 2 == 0 else np.float32
+    flat, values = table.reshape(-1).view(kind), values.reshape(-1).view(kind)
+    width = len(flat) // len(table)
+    at = np.repeat(rows.astype(np.intp) * width, width)
+    at += np.tile(np.arange(width), len(rows))
+    np.add.at(flat, at, values)
 
 
 # -- words of the corpus ----------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,98 @@ def test_slopes_are_those_of_the_loss():
             assert (loss[0] - loss[1]) / 0.02 == pytest.approx(float(slope[at]), rel=0.05, abs=0.02)
 
 
+class Plain(pseudolm.Network):
+    """The network's steps, word by row: indexing, softmaxes about their largest number, sums of sorted rows."""
+
+    def parts(self, near, unit):
+        a, b, c, d = near
+        h = np.tanh(self.left[a] + np.float32(0.5) * self.left[b] + self.right[c] + np.float32(0.5) * self.right[d])
+        p, q = h @ self.linear + self.bias, h @ self.mixer + self.mixer_bias
+        for x in (p, q):
+            np.exp(x - x.max(1, keepdims=True), out=x)
+            x /= x.sum(1, keepdims=True)
+        return h, p, q, q * self.table[unit]
+
+    def log_probability(self, near, unit):
+        out = []
+        for i in range(0, len(unit), 4096):
+            u = unit[i : i + 4096]
+            _, p, _, joint = self.parts([k[i : i + 4096] for k in near], u)
+            own = p[np.arange(len(u)), self.units.class_of[u]].astype(np.float64)
+            out.append(np.log(np.maximum(own, 1e-30)) + np.log(np.maximum(joint.sum(1), 1e-30)))
+        return np.concatenate(out)
+
+    def learn(self, near, unit):
+        def by_row(rows, values):
+            order = np.argsort(rows.astype(np.uint16), kind="stable")
+            rows = rows[order]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            return rows[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
+
+        start, seen, since = self.counts * np.float32(pseudolm.START_WORDS), np.zeros_like(self.counts), 0
+        for i in range(0, len(unit), pseudolm.STEP_WORDS):
+            now, u = [k[i : i + pseudolm.STEP_WORDS] for k in near], unit[i : i + pseudolm.STEP_WORDS]
+            h, p, q, share = self.parts(now, u)
+            share /= np.maximum(share.sum(1, keepdims=True), np.float32(1e-30))
+            p[np.arange(len(u)), self.units.class_of[u]] -= 1
+            q -= share
+            back = (p @ self.linear.T + q @ self.mixer.T) * (1 - h * h)
+            rows, sums, _ = by_row(u, share)
+            seen[rows] += sums
+            self.linear -= h.T @ p / np.float32(len(u))
+            self.bias -= p.mean(0)
+            self.mixer -= h.T @ q / np.float32(len(u))
+            self.mixer_bias -= q.mean(0)
+            for table, (x, y) in ((self.left, now[:2]), (self.right, now[2:])):
+                rows, sums, n = by_row(np.concatenate([x, y]), np.concatenate([back, np.float32(0.5) * back]))
+                table[rows] -= sums / n[:, None].astype(np.float32)
+            since += len(u)
+            if since >= pseudolm.TABLE_WORDS:
+                since = 0
+                self.retable(start + seen)
+        self.counts[:] = seen / seen.sum()
+        self.retable(start + seen)
+
+
+def zipf(n_words, seed=5):
+    rng = np.random.default_rng(seed)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, pseudolm.HEAD))
+    units = pseudolm.Units.of([(int(k), 2_000_000 // (i + 1)) for i, k in enumerate(rng.permutation(keys))], rng.integers(0, 900, pseudolm.TAIL))
+    unit = np.minimum(np.exp(rng.random(n_words) * np.log(len(units.class_of))) - 1, len(units.class_of) - 1).astype(np.int32)
+    return units, unit, pseudolm.sides(unit, np.arange(n_words) // 300, len(units.class_of))
+
+
+def test_steps_are_those_of_the_plain_programme_at_less_cost():
+    units, unit, near = zipf(70_300)  # ends in a part of a step
+    nets, spent, lps = {}, {}, {}
+    for kind in (pseudolm.Network, Plain) * 3:
+        net = nets[kind] = kind(units)
+        began = time.thread_time()
+        net.learn(near, unit)
+        lps[kind] = net.log_probability(near, unit)
+        spent[kind] = min(spent.get(kind, 1e9), time.thread_time() - began)
+    new, plain = nets[pseudolm.Network], nets[Plain]
+    assert lps[pseudolm.Network] == pytest.approx(lps[Plain], rel=1e-4, abs=1e-3)
+    for name in ("left", "right", "linear", "bias", "mixer", "mixer_bias", "counts", "table"):
+        assert getattr(new, name) == pytest.approx(getattr(plain, name), rel=1e-3, abs=1e-3), name
+    assert new.counts.sum() == pytest.approx(1, rel=1e-4)
+    assert spent[pseudolm.Network] < 0.8 * spent[Plain]
+
+
+@pytest.mark.parametrize("scale", [1, 30, 3000])
+def test_softmaxes_of_any_size(scale):
+    units, unit, near = zipf(3000)
+    net, plain = pseudolm.Network(units), Plain(units)
+    for n in (net, plain):
+        n.linear *= scale
+        n.mixer *= scale
+        n.bias[:5] += scale
+    got = net.log_probability(near, unit)
+    assert np.isfinite(got).all() and got == pytest.approx(plain.log_probability(near, unit), rel=1e-3, abs=1e-2)
+    p, q, back, h, share = net.slopes(near, unit)
+    assert all(np.isfinite(x).all() for x in (p, q, back, h, share)) and p.sum(1) == pytest.approx(np.zeros(3000), abs=1e-4)
+
+
 def test_training_beats_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     words = pseudolm.vocabulary(docs)
